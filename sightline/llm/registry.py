@@ -13,7 +13,7 @@ def oracle_sql():
 
 SUBSTRING_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), win AS (
   SELECT doc_id, i, list_slice(words, i, i + 12) AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w)
 ), hit AS (
@@ -24,6 +24,6 @@ WITH w AS (
   SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE list_filter(words, (x, p) -> NOT list_contains(ps, p)) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE list_filter(words, lambda x, p: NOT list_contains(ps, p)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN g USING (doc_id)
 """

@@ -36,7 +36,7 @@ from .hashing import pack_sorted, sequence_hashes, unpack_sorted, word_hashes
 
 _U = np.uint64
 #: Batches for each shuffle partition.
-BATCHES = 8
+BATCHES = 4
 #: Bits of an anchor's hash. A chance hit only costs a second look.
 ANCHOR_BITS = 48
 

@@ -1,10 +1,13 @@
 """The opN_ queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import substring
+from . import simhash, substring
 
 
 def queries():
-    return {"op1_substring_dedup": substring.query}
+    return {
+        "op1_substring_dedup": substring.query,
+        "op2_simhash": simhash.query,
+    }
 
 
 def oracle_sql():

@@ -1,17 +1,19 @@
 """The opN_ queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import simhash, substring
+from . import mixing, simhash, substring, vafile
 
 
 def queries():
     return {
         "op1_substring_dedup": substring.query,
         "op2_simhash": simhash.query,
+        "op5_mixing": mixing.query,
+        "op7_vafile": vafile.query,
     }
 
 
 def oracle_sql():
-    return {"op1_substring_dedup": SUBSTRING_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op5_mixing": mixing.SQL, "op7_vafile": vafile.SQL}
 
 
 SUBSTRING_SQL = r"""

@@ -1,14 +1,17 @@
 """The opN_ queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import mixing, simhash, substring, vafile
+from . import bpe, mixing, secrets, simhash, substring, telephony, vafile
 
 
 def queries():
     return {
         "op1_substring_dedup": substring.query,
         "op2_simhash": simhash.query,
+        "op3_bpe": bpe.query,
         "op5_mixing": mixing.query,
         "op7_vafile": vafile.query,
+        "op8_telephony": telephony.query,
+        "op10_secrets": secrets.query,
     }
 
 

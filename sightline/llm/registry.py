@@ -1,6 +1,6 @@
 """The opN_ queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import bpe, mixing, secrets, simhash, substring, telephony, vafile
+from . import bpe, mixing, secrets, simhash, substring, telephony, toxicity, vafile
 
 
 def queries():
@@ -9,6 +9,7 @@ def queries():
         "op2_simhash": simhash.query,
         "op3_bpe": bpe.query,
         "op5_mixing": mixing.query,
+        "op6_toxicity": toxicity.query,
         "op7_vafile": vafile.query,
         "op8_telephony": telephony.query,
         "op10_secrets": secrets.query,

@@ -1,6 +1,6 @@
 """The opN_ queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import bpe, mixing, secrets, simhash, substring, telephony, toxicity, vafile
+from . import bpe, html, mixing, quality, secrets, simhash, substring, telephony, toxicity, vafile
 
 
 def queries():
@@ -8,10 +8,12 @@ def queries():
         "op1_substring_dedup": substring.query,
         "op2_simhash": simhash.query,
         "op3_bpe": bpe.query,
+        "op4_html": html.query,
         "op5_mixing": mixing.query,
         "op6_toxicity": toxicity.query,
         "op7_vafile": vafile.query,
         "op8_telephony": telephony.query,
+        "op9_quality": quality.query,
         "op10_secrets": secrets.query,
     }
 

@@ -146,16 +146,19 @@ LABELLED = np.array([
     (1, 80, 0.1, 2, 0, 30, 0, 1), (1, 1, 0, 0, 0, 1, 0, 1), (1, 1, 0, 1, 0, 0, 0, 1), (1, 3, 0, 6, 1, 5, 0, 1), (1, 200, 0, 4, 0, 0, 0, 1),
     (1, 12, 0.5, 40, 0, 40, 0, 1), (1, 4, 1, 50, 0, 60, 0, 1), (1, 6, 1, 0, 0, 70, 0, 1), (1, 2, 1, 30, 0.1, 0, 0, 1), (1, 25, 0.3, 1, 1, 90, 0, 1),
     (1, 1, 1, 2, 1, 1, 1, 0), (1, 2, 1, 1, 1, 2, 1, 0), (1, 3, 1, 2, 1, 3, 1, 0), (1, 1, 1, 3, 1, 1, 1, 0),
+    (1, 50, 0, 40, 0, 2, 1, 1), (1, 5, 0, 30, 0, 4, 1, 1), (1, 90, 0, 0, 0, 1, 1, 1), (1, 1, 0, 1, 1, 1, 1, 1), (1, 7, 0, 3, 1, 2, 1, 1), (1, 2, 0, 2, 1, 3, 1, 1),
+    (1, 3, 0.3, 1, 1, 2, 1, 1), (1, 1, 1, 40, 0, 60, 0, 1), (1, 30, 0.6, 20, 0.7, 40, 0.6, 1), (1, 9, 1, 30, 0, 12, 0, 1),
     (2, 1, 1, 0, 0, 1, 1, 0), (2, 1, 1, 1, 1, 1, 1, 0), (2, 12, 0, 5, 1, 60, 0, 0), (2, 40, 0, 90, 0, 0, 0, 0), (2, 6, 0, 80, 0, 0, 0, 0),
     (2, 120, 0, 60, 0, 20, 0, 0), (2, 15, 0, 1, 1, 8, 0, 0), (2, 9, 0.4, 50, 0, 3, 1, 0), (2, 300, 0, 0, 0, 0, 0, 0), (2, 2, 0, 30, 0, 30, 0, 0),
     (0, 70, 0, 10, 0, 80, 0, 1), (0, 40, 0.05, 70, 0, 50, 0, 1), (0, 25, 0, 40, 0.05, 3, 0, 1), (0, 30, 0.1, 4, 0, 25, 0, 1), (0, 150, 0, 1, 1, 0, 0, 1),
     (0, 6, 0, 70, 0, 90, 0, 1), (0, 4, 0, 40, 0, 35, 0, 1), (0, 9, 0, 2, 1, 60, 0, 1), (0, 22, 0.2, 30, 0, 30, 0, 1),
+    (0, 60, 0, 60, 0, 1, 1, 1), (0, 45, 0, 30, 0, 3, 1, 1), (0, 30, 0.1, 2, 1, 2, 1, 1), (0, 80, 0.2, 1, 1, 1, 1, 1),
     (0, 3, 1, 2, 1, 4, 1, 0), (0, 2, 1, 0, 0, 2, 1, 0), (0, 5, 0.8, 2, 1, 30, 0, 0), (0, 4, 0, 3, 1, 2, 1, 0), (0, 7, 0, 3, 0, 0, 0, 0),
     (0, 1, 1, 60, 0, 0, 0, 0), (0, 1, 1, 0, 0, 60, 0, 0), (0, 14, 0.9, 20, 0, 12, 0.9, 0), (0, 40, 0.9, 30, 0.9, 20, 0.8, 0), (0, 3, 0, 0, 0, 2, 1, 0), (0, 8, 0.6, 60, 0, 3, 1, 0), (0, 2, 0, 5, 1, 0, 0, 0),
 ])
 
 
-def grow(rows: np.ndarray, depth: int = 6):
+def grow(rows: np.ndarray, depth: int = 10):
     """A decision tree by Gini impurity: a label, or (column, threshold, tree of <=, tree of >)."""
     y = rows[:, -1]
     if depth == 0 or y.min() == y.max():

@@ -1,6 +1,8 @@
 import html
 import re
 
+import numpy as np
+
 from sightline.llm import html as h
 
 
@@ -43,5 +45,13 @@ def test_edges(spark):
     assert h.extract(d.limit(0)).collect() == []
 
 
+def test_marked_text_is_kept_and_boilerplate_dropped_whatever_stands_near():
+    g = np.random.default_rng(1)
+    x = np.column_stack([np.ones(5000), g.integers(1, 300, 5000), g.random(5000) * 0.5, g.integers(0, 300, 5000), g.random(5000), g.integers(0, 300, 5000), g.random(5000)])
+    assert h.classify(h.grow(h.LABELLED), x).all()
+    x[:, 0], x[:, 2] = 2, g.random(5000)
+    assert not h.classify(h.grow(h.LABELLED), x).any()
+
+
 def test_tree_fits_its_table():
     assert (h.classify(h.grow(h.LABELLED), h.LABELLED[:, :-1]) == h.LABELLED[:, -1]).mean() > 0.95

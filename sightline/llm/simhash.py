@@ -15,7 +15,7 @@ local roots only (fewer links than members), found by direct comparison in
 blocks. A group of over ``large`` members is dealt a second time, by four
 blocks of its uncompared positions (of at most three differing positions one
 block of four is free), so no hot group stays in one task. Components of the
-links come from :mod:`.components`.
+links come from the engine's component operator.
 
 Cases. Null text or a text without words: fingerprint zero, linked like any
 other. Fewer words than a shingle: the whole sequence is one shingle. Null id:
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import saved, ship, table
-from .components import components
+from ..operators.components import components
 
 _U = np.uint64
 BITS, SEED = 64, 42

@@ -4,7 +4,8 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from sightline.llm import components, simhash
+from sightline.llm import simhash
+from sightline.operators import components
 
 
 def brute_fp(t):

@@ -47,20 +47,19 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word."""
     if word in ranks:
         return [ranks[word]]
-    none = 1 << 60
-    parts = [word[i:i + 1] for i in range(len(word))]
-    rank = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-    if len(parts) > 2000:
-        return _fold_long(parts, ranks)
+    none, n, get = 1 << 60, len(word), ranks.get
+    if n > 2000:
+        return _fold_long([word[i:i + 1] for i in range(n)], ranks)
+    cuts = list(range(n + 1))  # pieces are the slices between cuts
+    rank = [get(word[i:i + 2], none) for i in range(n - 1)]
     while rank and (least := min(rank)) < none:
         i = rank.index(least)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del rank[i]
+        del rank[i], cuts[i + 1]
         if i < len(rank):
-            rank[i] = ranks.get(parts[i] + parts[i + 1], none)
+            rank[i] = get(word[cuts[i]:cuts[i + 2]], none)
         if i:
-            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-    return [ranks[p] for p in parts]
+            rank[i - 1] = get(word[cuts[i - 1]:cuts[i + 1]], none)
+    return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _fold_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
@@ -98,21 +97,31 @@ class Encoder:
     """Encodes texts; keeps the results of distinct words up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pieces = ranks, {r: p for p, r in ranks.items()}
+        self.ranks, self.pieces, self.names = ranks, {r: p for p, r in ranks.items()}, {r: str(r) for r in ranks.values()}
         # between two white-space runs the pattern can be applied alone: no match spans more
         self.coarse = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.words = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
-        self.known: dict[str, tuple[int, str, bytes, list[int]]] = {}
+        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}  # tuples of plain values: the collector skips them
 
-    def _chunk(self, x: str) -> tuple[int, str, bytes, list[int]]:
-        ids = [i for w in self.words(x) for i in fold(w.encode(), self.ranks)]
-        out = len(ids), ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids)), ids
+    def _word(self, w: str) -> tuple[int, str, bytes, tuple[int, ...]]:
+        ids = tuple(fold(w.encode(), self.ranks))
+        return len(ids), ",".join(map(self.names.__getitem__, ids)), b"".join(map(self.pieces.__getitem__, ids)), ids
+
+    def _keep(self, x: str, out):
         if len(x) <= LONGEST:
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[x] = out
         return out
 
+    def _chunk(self, x: str) -> tuple[int, str, bytes, tuple[int, ...]]:
+        words = self.words(x)
+        if len(words) == 1:
+            return self._keep(x, self._word(x))
+        # its words are mostly known from other places
+        parts = [self.known.get(w) or self._keep(w, self._word(w)) for w in words]
+        return self._keep(x, (sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts]), tuple([i for p in parts for i in p[3]])))
+
     def chunks(self, text: str):
         """Results for the parts of a text, in order."""
         known = self.known

@@ -44,20 +44,24 @@ LONGEST = 40
 _WORDS = re.compile(r"[^\W\d_]{1,40}").findall
 
 
-def _grams(words: list[str]):
-    """Symbols of all words with their ends; place in the word, the word, and a hash of the k + 1 symbols up to each."""
-    c = np.frombuffer("".join(f"\2{w}\3" for w in words).encode("utf-32-le"), "<u4").astype(_U)
+def _symbols(words: list[str]):
+    """Symbols of all words with their ends, the place of each in its word, and the word."""
+    c = np.frombuffer("".join(f"\2{w}\3" for w in words).encode("utf-32-le"), "<u4")
     start = np.flatnonzero(c == 2)
     lens = np.diff(np.append(start, len(c)))
-    place, word = np.arange(len(c)) - np.repeat(start, lens), np.repeat(np.arange(len(words)), lens)
-    h, hashes = np.zeros(len(c), _U), []
+    place = (np.arange(len(c)) - np.repeat(start, lens)).astype(np.int16)
+    return c, place, np.repeat(np.arange(len(words), dtype=np.int32), lens)
+
+
+def _hashes(c: np.ndarray):
+    """For each k a hash of the k + 1 symbols up to each symbol, one k at a time."""
+    h = np.zeros(len(c), _U)
     for k in range(ORDER):
         back = np.zeros(len(c), _U)
         if k < len(c):
             back[k:] = c[:len(c) - k]
         h = mix(h * _U(3) + back + np.full(1, 0x9E3779B97F4A7C15, _U) * _U(k + 1))
-        hashes.append(h)
-    return place, word, hashes
+        yield h
 
 
 def _before(h: np.ndarray) -> np.ndarray:
@@ -75,32 +79,35 @@ class KneserNey:
     """The two models. counts: ordinary and toxic documents that have each word."""
 
     def __init__(self, words: list[str], counts: np.ndarray):
-        place, word, hashes = _grams(words)
+        c, place, word = _symbols(words)
         counts = counts.astype(np.float64)
         f = lambda x: x.astype(np.float32)
         self.own, self.shared = [None], []
+        # only three orders' hashes are held at a time: of contexts, of grams, of grams with the symbol before
+        steps = _hashes(c)
+        below, here, above = None, next(steps), next(steps)
         for k in range(ORDER):
-            here = np.flatnonzero(place >= max(k, 1))
-            context = _before(hashes[k - 1])[here] if k else np.zeros(len(here), _U)
-            g, first, inv = np.unique(hashes[k][here], return_index=True, return_inverse=True)
-            gram_context = context[first]
-            cu, cinv = np.unique(gram_context, return_inverse=True)
-            if k:  # counts of the classes, of grams and of their contexts
-                n = [np.bincount(inv, counts[word[here], y]) for y in (0, 1)]
+            context = (lambda at: _before(below)[at]) if k else (lambda at: np.zeros(len(at), _U))  # noqa: B023
+            if k:  # counts of the classes, of grams and of their contexts; below the longest history only a word's start asks
+                at = np.flatnonzero(place >= k if k == ORDER - 1 else place == k)
+                g, first, inv = np.unique(here[at], return_index=True, return_inverse=True)
+                cu, cinv = np.unique(context(at)[first], return_inverse=True)
+                n = [np.bincount(inv, counts[word[at], y]) for y in (0, 1)]
                 self.own.append((g, [f(x) for x in n], cu, [f(np.bincount(cinv, x)) for x in n], [f(np.bincount(cinv, x > 0)) for x in n]))
             if k < ORDER - 1:  # continuations: distinct symbols before a gram, over both classes
-                wide = np.flatnonzero(place >= max(k + 1, 1))
-                _, at = np.unique(hashes[k + 1][wide], return_index=True)
-                gu, gn = np.unique(hashes[k][wide[at]], return_counts=True)
-                ctx = _before(hashes[k - 1])[wide[at]] if k else np.zeros(len(at), _U)
+                wide = np.flatnonzero(place > k)
+                wide = wide[np.unique(above[wide], return_index=True)[1]]
+                gu, first, gn = np.unique(here[wide], return_index=True, return_counts=True)
+                ctx = context(wide)
                 tu, tn = np.unique(ctx, return_counts=True)
-                known = np.isin(g, gu)
-                vu, vn = np.unique(gram_context[known], return_counts=True)
+                vu, vn = np.unique(ctx[first], return_counts=True)
                 self.shared.append((gu, f(gn), tu, f(tn), vu, f(vn)))
+            below, here, above = here, above, next(steps, None)
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """Of each word: (log P(toxic) - log P(ordinary)) / length, its end counted."""
-        place, word, hashes = _grams(words)
+        c, place, word = _symbols(words)
+        hashes = list(_hashes(c))
         base = np.full(len(place), 1 / 256, np.float32)
         out = np.zeros(len(place))
         for k in range(ORDER):
@@ -204,8 +211,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
 class Model:
     """What training gives: the two models and the calibration, or a share if a class is missing."""
 
-    def __init__(self, share: float, words: KneserNey | None = None, calibrate: Logistic | None = None):
-        self.share, self.words, self.calibrate = share, words, calibrate
+    def __init__(self, share: float, held=None, calibrate: Logistic | None = None):
+        self.share, self.held, self.calibrate = share, held, calibrate
+
+    @property
+    def words(self) -> KneserNey | None:
+        """The two models, read from their broadcast."""
+        return self.held.value if self.held else None
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Model:
@@ -224,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     from .bpe import _Held
 
     held, cols = _Held(spark.sparkContext.broadcast(model)), [f"e{i}" for i in range(TOP + 1)]
+    del w, model  # the driver keeps the broadcast's file, not the tables
 
     def features(batches):
         for b in batches:
@@ -236,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     from ..session import drop_saved
 
     drop_saved(spark, path)
-    return Model(toxic / rows, model, Logistic(x[order], c.column("y").to_numpy()[order].astype(float)))
+    return Model(toxic / rows, held, Logistic(x[order], c.column("y").to_numpy()[order].astype(float)))
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -244,11 +257,9 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    if model.words is None:
+    if model.held is None:
         return d.select(*(F.col(f"`{c}`") for c in keep), F.lit(float(model.share)).alias("score"))
-    from .bpe import _Held
-
-    held, calibrate, names = _Held(spark.sparkContext.broadcast(model.words)), model.calibrate, [*keep, "score"]
+    held, calibrate, names = model.held, model.calibrate, [*keep, "score"]
 
     def run(batches):
         for b in batches:

@@ -4,9 +4,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.operators import geometry, raster, regions
+from sightline.operators import geometry, measures, raster, regions
 from sightline.operators.components import components
-from sightline.plans import registry
+from sightline.plans import measured, registry  # noqa: F401
 from sightline.streaming import variation
 
 
@@ -104,6 +104,31 @@ def test_variation_on_a_stream(spark, tmp_path):
     assert got[0] == (10.0, pytest.approx(200 / 3)) and got[1] == (5.0, 0.0)
 
 
+def test_hysteresis_keeps_what_touches_strong_pixels(spark):
+    px = image(spark, [[9, 9, 0, 9, 9], [0, 0, 0, 0, 20], [9, 0, 0, 0, 0]])
+    assert sorted((r.y, r.cb, r.ce) for r in measures.hysteresis(px, 9, 20).collect()) == [(0, 3, 5), (1, 4, 5)]
+    assert measures.hysteresis(px.limit(0), 9, 20).collect() == []
+
+
+def test_roberts_and_triangle(spark):
+    assert grid(measures.roberts(image(spark, [[1, 5], [2, 9]])), 2, 2) == [[11, 0], [0, 0]]
+    t = measures.triangle(image(spark, [[10] * 50 + [11] * 3 + [200]])).first()
+    assert t.v == 12 and t.threshold == 12.5 * 255 / 256
+
+
+def test_edges_are_chosen(spark):
+    e = spark.createDataFrame([(1, 3, 5.0), (1, 8, 9.0), (1, 9, 9.0)], "user_id long, i int, amplitude double")
+    assert [measures.chosen_edges(e, w).first().i for w in ("first", "last", "strongest")] == [3, 9, 8]
+    with pytest.raises(ValueError):
+        measures.chosen_edges(e, "other")
+
+
+def test_point_in_a_square(spark):
+    k = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate([(0, 0), (4, 0), (4, 4), (0, 4)])], "contour_id long, i int, x long, y long")
+    assert measures.contains(k, 2.0, 2.0).first().inside and not measures.contains(k, 5.0, 2.0).first().inside
+    assert measures.vertex_distance(k, 7.0, 8.0).first().distance == 5.0
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL)[::9])
 def test_against_sql(spark, name):
     import duckdb

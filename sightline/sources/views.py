@@ -26,7 +26,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grey-value profile for each user: values in the order of time."""
     e = table(spark, sf_dir, "events")
-    i = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    i = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
     return e.select("user_id", i.alias("i"), F.col("value").cast("double").alias("v"))
 
 
@@ -44,7 +44,7 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contour_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A polygon for each customer: prices in the order of keys, on integer coordinates."""
     o = table(spark, sf_dir, "orders")
-    i = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    i = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1
     return o.select(F.col("o_custkey").alias("contour_id"), i.alias("i"), F.floor(F.col("o_totalprice") / 100).alias("x"), (F.col("o_orderkey") % 1000).alias("y"))
 
 

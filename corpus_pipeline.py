@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, mixing, secrets, simhash, toxicity
+from sightline.llm import bpe, jaccard, mixing, secrets, toxicity
 from sightline.session import saved, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,12 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays; rows without id stay."""
-    groups = simhash.near_duplicates(docs)
-    # one row stays for an id, also where the input repeats it
-    gone = groups.where("id > component_id").select(F.col("id").alias("doc_id")).distinct()
-    once = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(*(F.first(c).alias(c) for c in COLUMNS[1:]))
-    return once.select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document of smallest id stays; rows without id stay."""
+    return jaccard.once(docs.select(*COLUMNS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

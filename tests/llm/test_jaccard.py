@@ -49,6 +49,12 @@ def test_stage_finds_all_pairs_of_similarity_08(spark):
     assert run(spark, rows) == sorted(plain(rows), key=str)
 
 
+def test_different_texts_of_one_id_stay(spark):
+    a, b = " ".join(words("a", 40)), " ".join(words("b", 40))
+    assert run(spark, [(5, a), (5, b), (5, b), (7, a)]) == [(5, a), (5, b)]
+    assert run(spark, [(1, a), (5, a), (5, b)]) == [(1, a), (5, b)]
+
+
 def test_size_filter_and_prefix():
     s = jaccard.shingles(jaccard.word_hashes(b"a b c d e f g"))
     assert len(s) == 3 and len(jaccard.prefix(s, s[:1])) == 1 and jaccard.prefix(s, s[:1])[0] == s[1]

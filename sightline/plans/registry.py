@@ -106,6 +106,12 @@ _train = "vm AS (SELECT y, x, avg(v) AS mean, var_pop(v) AS var FROM p WHERE ima
 on_pixels("variation_train", lambda p: r.variation_model(p.where("image_id < 7")).select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var")), "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm", _train)
 on_pixels("variation_incremental", lambda p: variation.prepare(variation.merge(variation.train(p.where("image_id < 4")), variation.train(p.where("image_id BETWEEN 4 AND 6")))).select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var")), "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm", _train)
 on_pixels("variation_compare", lambda p: r.variation_compare(p.where("image_id = 7"), r.variation_model(p.where("image_id < 7")), 20, 1.7), "SELECT image_id, y, x FROM p JOIN vm USING (y, x) WHERE image_id = 7 AND abs(v - mean) > greatest(20, sqrt(var) * 1.7)", _train)
+# the same over whole tables; the three above and their SQL keep to a few images
+_all = _train.replace(" WHERE image_id < 7", "")
+_even = lambda: F.col("image_id") % 2 == 0
+on_pixels("variation_train_all", lambda p: r.variation_model(p).select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var")), "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm", _all)
+on_pixels("variation_incremental_all", lambda p: variation.prepare(variation.merge(variation.train(p.where(_even())), variation.train(p.where(~_even())))).select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var")), "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm", _all)
+on_pixels("variation_compare_all", lambda p: r.variation_compare(p, r.variation_model(p), 20, 1.7), "SELECT image_id, y, x FROM p JOIN vm USING (y, x) WHERE abs(v - mean) > greatest(20, sqrt(var) * 1.7)", _all)
 _m = (math.cos(0.3), -math.sin(0.3), 12.0, math.sin(0.3), math.cos(0.3), -7.0)
 on_pixels("affine_warp", lambda p: r.point(r.affine(p, _m), lambda v: F.round(v, 6)), f"""{PX} round(sum(f * v), 6) AS v FROM (SELECT g.image_id, g.y, g.x, s.v, (CASE WHEN a = 1 THEN w - w0 ELSE 1 - w + w0 END) * (CASE WHEN b = 1 THEN u - u0 ELSE 1 - u + u0 END) AS f
   FROM (SELECT *, floor(u) AS u0, floor(w) AS w0 FROM (SELECT image_id, y, x, x * {_m[0]!r}::DOUBLE + y * {_m[1]!r}::DOUBLE + 12.0::DOUBLE AS u, x * {_m[3]!r}::DOUBLE + y * {_m[4]!r}::DOUBLE - 7.0::DOUBLE AS w FROM p)) g

@@ -122,6 +122,8 @@ on_pixels("ncc", _match, "SELECT * FROM ncc", _ncc)
 on_pixels("ncc_matches", lambda p: g.suppress(_match(p).where("score >= 0.3"), "score", 4), "SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.image_id = m.image_id AND abs(o.y - m.y) <= 4 AND abs(o.x - m.x) <= 4 AND (o.score > m.score OR (o.score = m.score AND (o.y < m.y OR (o.y = m.y AND o.x < m.x)))))", _ncc + ", m AS (SELECT * FROM ncc WHERE score >= 0.3)")
 _cs = ", ".join(f"({i}, {round(math.cos(i * math.pi / 18), 12)!r}::DOUBLE, {round(math.sin(i * math.pi / 18), 12)!r}::DOUBLE)" for i in range(18))
 on_pixels("hough_lines", lambda p: g.hough(r.in_range(p, 185, 255), 18), f"SELECT image_id, t, CAST(floor(x * c + y * s + 0.5::DOUBLE) AS BIGINT) AS rho, count(*) AS votes FROM p, (VALUES {_cs}) a(t, c, s) WHERE v >= 185 GROUP BY ALL")
+_cs1 = ", ".join(f"({i}, {round(math.cos(i * math.pi / 180), 12)!r}::DOUBLE, {round(math.sin(i * math.pi / 180), 12)!r}::DOUBLE)" for i in range(180))
+on_pixels("hough_lines_degree", lambda p: g.hough(r.in_range(p, 185, 255), 180), f"SELECT image_id, t, CAST(floor(x * c + y * s + 0.5::DOUBLE) AS BIGINT) AS rho, count(*) AS votes FROM p, (VALUES {_cs1}) a(t, c, s) WHERE v >= 185 GROUP BY ALL")
 
 _isl = lambda w, n: f"{n} AS (SELECT image_id, y, min(x) AS cb, max(x) + 1 AS ce FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM {w}) GROUP BY image_id, y, g)"
 _A, _B = "(SELECT image_id, y, x FROM p WHERE v >= 160)", "(SELECT image_id, y, x FROM p WHERE v <= 190 AND x % 5 > 0)"

@@ -1,3 +1,4 @@
+import math
 import os
 
 import duckdb
@@ -27,3 +28,16 @@ def test_variation_of_all_images(spark, name):
     assert len(got) == len(want) and all(abs(a - b) < 1e-4 for x, y in zip(got, want, strict=True) for a, b in zip(x, y, strict=True))
     if name == "variation_compare_all":
         assert len({r[0] for r in got}) > 1
+
+
+def test_hough_by_degrees(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    assert rows(registry.Q["hough_lines_degree"](spark, sf)) == sql("hough_lines_degree", sf)
+    # a line midway between two angles of a table of 18
+    c, s = math.cos(math.radians(35)), math.sin(math.radians(35))
+    line = [(0, y, x, 255) for y in range(64) for x in range(64) if abs(x * c + y * s - 40) <= 0.5]
+    px = spark.createDataFrame(line, "image_id long, y int, x int, v int")
+    monkeypatch.setattr(views, "pixels", lambda s, d: px)
+    best = max(registry.Q["hough_lines_degree"](spark, "").collect(), key=lambda v: v.votes)
+    assert (best.t, best.rho) == (35, 40) and best.votes == len(line)
+    assert max(v.votes for v in registry.Q["hough_lines"](spark, "").collect()) < len(line) / 2

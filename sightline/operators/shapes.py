@@ -6,6 +6,7 @@ contour. Null coordinates take no part; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -158,9 +159,11 @@ def nearest(c: DataFrame, centres: list[tuple[float, ...]]) -> DataFrame:
     return c.withColumn("cluster", F.array_min(F.array(*[F.struct(far(m).alias("d"), F.lit(i).alias("n")) for i, m in enumerate(centres)]))["n"])
 
 
-def kmeans(c: DataFrame, centres: list[tuple[float, ...]], rounds: int) -> list[tuple[float, ...]]:
-    """Centres after some rounds; each round is one aggregate of as many rows as centres, and an empty cluster keeps its own."""
+def kmeans(c: DataFrame, centres: list[tuple[float, ...]], rounds: int, epsilon: float | None = None) -> list[tuple[float, ...]]:
+    """Centres after some rounds, or sooner if all move less than ``epsilon``; each round is one aggregate of as many rows as centres, and an empty cluster keeps its own."""
     for _ in range(rounds):
         got = {x["cluster"]: (x["r"], x["g"], x["b"]) for x in nearest(c, centres).groupBy("cluster").agg(*(F.avg(n).alias(n) for n in "rgb")).collect()}
-        centres = [got.get(i, m) for i, m in enumerate(centres)]
+        old, centres = centres, [got.get(i, m) for i, m in enumerate(centres)]
+        if epsilon is not None and max(map(math.dist, old, centres), default=0.0) < epsilon:
+            break
     return centres

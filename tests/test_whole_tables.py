@@ -2,6 +2,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from sightline.plans import registry, shaped  # noqa: F401
@@ -41,3 +42,22 @@ def test_hough_by_degrees(spark, monkeypatch):
     best = max(registry.Q["hough_lines_degree"](spark, "").collect(), key=lambda v: v.votes)
     assert (best.t, best.rho) == (35, 40) and best.votes == len(line)
     assert max(v.votes for v in registry.Q["hough_lines"](spark, "").collect()) < len(line) / 2
+
+
+def test_kmeans_against_a_lloyd_loop(spark):
+    sf = "/root/testdata/sf0.01"
+    data = np.array(sorted(tuple(r) for r in views.rgb(spark, sf).collect()))
+    x, c, rounds = data[:, 2:].astype(float), np.array(shaped._C, float), 0
+    while rounds < 100:
+        y = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        old, c = c, np.array([x[y == i].mean(axis=0) if (y == i).any() else c[i] for i in range(len(c))])
+        rounds += 1
+        if np.sqrt(((c - old) ** 2).sum(axis=1)).max() < 1:
+            break
+    assert 3 < rounds < 100
+    y = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+    # keys repeat in the table; a row is told by its colours too
+    got = rows(registry.Q["kmeans_converged"](spark, sf))
+    assert got == sorted((*(int(v) for v in k), int(v)) for k, v in zip(data, y, strict=True))
+    three = rows(registry.Q["kmeans"](spark, sf))
+    assert sum(a != b for a, b in zip(got, three, strict=True)) > len(got) / 50

@@ -9,17 +9,18 @@ the difference of the log-likelihoods divided by its length; a document's is
 that of its ``TOP`` strongest words and the mean of all, turned into a probability
 by a logistic regression on labelled rows that the models have not seen.
 
-How it trains. At most ``SAMPLE`` labelled rows are used, those of least
-md5(id) among rows whose crc32(id) mod 5 is not 0; remainders 1 to 3 for the
-counts, 4 for the calibration. Words are counted on the executors; the model is
-a function of at most the sample's distinct words, so its size is bounded by
-``SAMPLE`` and it can be broadcast. Every text is then scored whole; nothing of
-it is shuffled.
+How it trains. Rows whose crc32(id) mod 5 is 0 are held out. All labelled rows of
+remainders 1 to 3 are counted, on the executors and by a grouped aggregate; only
+the calibration, a logistic regression, takes a sample: at most ``SAMPLE``
+rows of remainder 4, those of least md5(id). The model is a function of the
+distinct words of the counted rows; it is built on the driver and broadcast, so
+it grows with that vocabulary (figures in the README). Every text is then scored
+whole; nothing of it is shuffled.
 
 Cases. Null or empty text or one without letters: no evidence, scored like any
 other. Null ids: not held out. Null labels are skipped, repeated labels of an id
-count as toxic if any is. If the sample lacks a class, every score is the share
-of toxic rows in it (0 without rows). Empty tables give empty results.
+count as toxic if any is. If the counted rows lack a class, every score is the
+share of toxic rows in all (0 without rows). Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from .logistic import Logistic
 
 _U = np.uint64
 ORDER, DISCOUNT, TOP = 8, 0.75, 4
-#: Most labelled rows that training uses, and words that a worker remembers.
+#: Most labelled rows that the calibration uses, and words that a worker remembers.
 SAMPLE, CACHE = 8000, 300_000
 #: Longest word (in letters); longer ones are cut into parts of this length.
 LONGEST = 40
@@ -186,11 +187,18 @@ def _scorer(held) -> Scorer:
 
 def _count_words(batches):
     n: dict[str, list[int]] = {}
+
+    def counted():
+        return pa.record_batch([pa.array(list(n), pa.string()), pa.array([x[0] for x in n.values()], pa.int64()), pa.array([x[1] for x in n.values()], pa.int64())], names=["w", "n0", "n1"])
+
     for b in batches:
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for w in set(_WORDS((t or "").lower())):  # documents, not repeats in one
                 n.setdefault(w, [0, 0])[y] += 1
-    yield pa.record_batch([pa.array(list(n), pa.string()), pa.array([x[0] for x in n.values()], pa.int64()), pa.array([x[1] for x in n.values()], pa.int64())], names=["w", "n0", "n1"])
+            if len(n) > CACHE:
+                yield counted()
+                n.clear()
+    yield counted()
 
 
 def remainder(id_col):
@@ -198,13 +206,23 @@ def remainder(id_col):
     return F.crc32(id_col.cast("string").cast("binary")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, most: int) -> DataFrame:
-    """``text, y, part`` of at most ``most`` labelled rows that are not held out; ``part``: their remainder."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """``text, y, part`` of all labelled rows that are not held out; ``part``: their remainder."""
+    y = _labels(labels, label, id_col)
+    return docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")).join(y, "__id").select(F.col("text"), F.col("__y").alias("y"), F.col("__part").alias("part"))
+
+
+def _labels(labels: DataFrame, label: str, id_col: str) -> DataFrame:
     n = F.col(f"`{id_col}`").cast("long")
     y = labels.select(n.alias("__id"), F.col(f"`{label}`").cast("int").alias("__y")).where("__id IS NOT NULL AND __y IN (0, 1)")
-    y = y.groupBy("__id").agg(F.max("__y").alias("__y")).withColumn("__part", remainder(F.col("__id"))).where("__part <> 0")
+    return y.groupBy("__id").agg(F.max("__y").alias("__y")).withColumn("__part", remainder(F.col("__id"))).where("__part <> 0")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, most: int, parts: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """``text, y, part`` of at most ``most`` labelled rows of these remainders."""
+    y = _labels(labels, label, id_col).where(F.col("__part").isin(*parts))
     y = y.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(most)  # the bound of the broadcast below
-    d = docs.withColumn("__id", n)
+    d = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long"))
     return d.join(F.broadcast(y), "__id").select(F.col("text"), F.col("__y").alias("y"), F.col("__part").alias("part"))
 
 
@@ -225,14 +243,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text"))
-    s, path = saved(labelled_sample(d, labels, "toxic", id_col, most), "toxic")
+    s = labelled(d, labels, "toxic", id_col)
     n = {(r.y, r.own): r["count"] for r in s.groupBy("y", (F.col("part") == 4).alias("own")).count().collect()}
     toxic, rows = sum(k for (y, _), k in n.items() if y), sum(n.values())
     if not all(n.get((y, False)) for y in (0, 1)):
         return Model(toxic / rows if rows else 0.0)
     w = s.where("part <> 4").select("text", "y").mapInArrow(_count_words, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     model = KneserNey(w.column("w").to_pylist(), np.column_stack([w.column("n0").to_numpy(), w.column("n1").to_numpy()]))
-    cal = s.where("part = 4") if all(n.get((y, True)) for y in (0, 1)) else s
+    cal, path = saved(labelled_sample(d, labels, "toxic", id_col, most, (4,) if all(n.get((y, True)) for y in (0, 1)) else (1, 2, 3, 4)), "toxic")
     from .bpe import _Held
 
     held, cols = _Held(spark.sparkContext.broadcast(model)), [f"e{i}" for i in range(TOP + 1)]

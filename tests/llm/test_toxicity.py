@@ -34,3 +34,13 @@ def test_edges(spark, labelled):
     got = t.scores(d, t.train(d, y)).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert t.scores(d.limit(0), t.train(d, y)).collect() == []
+
+
+def test_all_labelled_rows_are_counted(spark):
+    """Each toxic document has an insult of its own; the bound is for the calibration alone."""
+    insult = lambda i: "".join("bdfgklmprt"[int(c)] + "aeiou"[int(c) % 5] for c in str(7919 * (i + 1000)))
+    rows = [(i, f"the plain words of a text {insult(i) if i % 2 else 'more'}", i % 2) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    words = t.train(d, d.select("doc_id", "toxic"), most=20).words
+    counted = [insult(i) for i, _, y in rows if y and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
+    assert len(counted) > 60 and words.evidence(counted).min() > 0.05 > abs(words.evidence(["plain"])[0])

@@ -1,10 +1,13 @@
 """Secret scans: patterns, and character Markov models of random strings.
 
-Three patterns give the base spans. The method adds spans: every run of at
-least ``LEAST`` characters that may stand in a key is scored by two character
-Markov models, one of random strings and one of ordinary identifiers, trained
-from a labelled sample; a run whose log-likelihood ratio favours random strings
-by enough is a span of kind ``markov``, unless it overlaps a base span.
+Three patterns give the base spans. The method adds spans: every run of
+characters that may stand in a key, less what base spans cover of it, is scored
+by two character Markov models, one of random strings and one of ordinary
+identifiers, trained from a labelled sample. A run whose log-likelihood ratio
+favours random strings by enough is a span of kind ``markov``; else its best
+stretch is, if that does, in whole tokens, and the rest is scored again. Random strings of under
+``SHORTEST`` characters, or under ``LEAST`` without digits, cannot be told from
+words and are not found.
 
 A row is scanned by itself, in Arrow batches; nothing is shuffled.
 
@@ -29,9 +32,15 @@ KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: A shortest run that is scored, and the least ratio in nats, in all and a character.
+#: A shortest run or stretch of one that is scored, and the least ratio in nats, in all and a character.
 LEAST, RATIO, RATIO_EACH = 20, 12.0, 0.4
-_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+#: Shorter stretches, down to this, count if they have letters and digits: fewer letters alone are often a word.
+SHORTEST = 8
+#: What ends a token within a run.
+SEPARATORS = "/=-_"
+# an equals sign ends a run, as a name's or as padding
+_RUN = re.compile(rf"(?:[A-Za-z0-9+/_-]{{{LEAST},}}|(?=[A-Za-z+/_-]{{0,{LEAST - 2}}}[0-9])[A-Za-z0-9+/_-]{{{SHORTEST},{LEAST - 1}}})={{0,2}}")
+_MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
 
 # Fixed words of which the ordinary identifiers of the training sample are made.
 WORDS = """account active agent amount archive article average banner batch border bridge buffer button calendar cancel center
@@ -77,12 +86,17 @@ def train(sample: list[tuple[str, int]], smooth: float = 0.5) -> np.ndarray:
 _RATIOS: list[np.ndarray] = []
 
 
-def ratio(s: str) -> float:
-    """How much a string speaks for the random model, in nats."""
+def ratios(s: str) -> np.ndarray:
+    """How much each character of a string speaks for the random model, in nats."""
     if not _RATIOS:
         _RATIOS.append(train(labelled_sample()))
     c = _CODE[np.frombuffer(s.encode("ascii"), np.uint8)]
-    return float(_RATIOS[0][np.append(len(CHARS), c[:-1]), c].sum())
+    return _RATIOS[0][np.append(len(CHARS), c[:-1]), c]
+
+
+def ratio(s: str) -> float:
+    """How much a string speaks for the random model, in nats."""
+    return float(ratios(s).sum())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -93,16 +107,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)])
 
 
+def _pieces(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans leave of a run."""
+    out = []
+    for a, _, z in base:
+        if a < end and start < z:
+            if start < a:
+                out.append((start, a))
+            start = max(start, z)
+    return [*out, (start, end)] if start < end else out
+
+
+def _random(s: str) -> bool:
+    if len(s) < SHORTEST or len(s) < LEAST and not _MIXED.search(s):
+        return False
+    r = ratio(s)
+    return r >= RATIO and r >= RATIO_EACH * len(s)
+
+
+def _to_tokens(s: str, start: int, end: int) -> tuple[int, int]:
+    """A stretch with the tokens at its ends whole: those more than half in it; others go."""
+    cut = [-1, *(i for i, c in enumerate(s) if c in SEPARATORS), len(s)]
+    whole = [(a + 1, z) for a, z in zip(cut[:-1], cut[1:], strict=True) if 2 * (min(z, end) - max(a + 1, start)) > z - a - 1]
+    a, z = (whole[0][0], whole[-1][1]) if whole else (start, end)
+    return (a, z) if _random(s[a:z]) else (start, end)
+
+
+def stretches(run: str) -> list[tuple[int, int]]:
+    """Where a run is random: all of it, or its best stretch, and what lies beside that."""
+    out, left = [], [(0, len(run))]
+    while left:
+        a, z = left.pop()
+        s = run[a:z]
+        if _random(s):
+            out.append((a, z))
+        elif len(s) >= SHORTEST:
+            sums = np.append(0.0, np.cumsum(ratios(s) - RATIO_EACH))
+            end = int((sums - np.minimum.accumulate(sums)).argmax())
+            start = int(sums[:end + 1].argmin())
+            if _random(s[start:end]):
+                start, end = _to_tokens(s, start, end)
+                out.append((a + start, a + end))
+                left += [(a, a + start), (a + end, z)]
+    return sorted(out)
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that only the models find."""
     out = []
     for m in _RUN.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < z for a, _, z in base):
-            continue
-        r = ratio(m[0])
-        if r >= RATIO and r >= RATIO_EACH * (e - s):
-            out.append((s, 3, e))
+        for s, e in _pieces(*m.span(), base):
+            out += [(s + a, 3, s + z) for a, z in stretches(text[s:e])]
     return out
 
 

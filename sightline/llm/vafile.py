@@ -15,8 +15,8 @@ contract states all rows as candidates, in blocks of matrix products.
 Cases. Vectors null, empty, or with a null or non-finite component take no part.
 Only vectors of equal length meet. A query is not its own candidate: rows of its
 id are left out. Repeated ids are candidates of their own. Fewer than k
-candidates: all. Ties go to the smaller id. Scores beyond 2^63 are not
-representable: components are limited to |floor(256 x)| < 2^31.
+candidates: all. Ties go to the smaller id. Large components are reckoned with as
+Python integers; a score among the k best that does not fit a long is an error.
 """
 
 from __future__ import annotations
@@ -50,6 +50,11 @@ class Approximation:
             self.low[c] = np.where(inside, x, np.inf).min(axis=0)
             self.high[c] = np.where(inside, x, -np.inf).max(axis=0)
 
+    def slack(self, q: np.ndarray) -> np.ndarray:
+        """For all queries and vectors, more than the rounding of their bound: its terms may cancel."""
+        dims = np.arange(self.cells.shape[1])
+        return 1e-9 * (np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.high))[self.cells, dims].T) + 1e-6
+
     def upper(self, q: np.ndarray) -> np.ndarray:
         """Upper bounds of the inner products of all queries (rows) and vectors."""
         dims = np.arange(self.cells.shape[1])
@@ -58,7 +63,7 @@ class Approximation:
 
 def _exact(x: np.ndarray) -> np.ndarray:
     """As doubles, if every product sum is below 2^53, else as Python integers."""
-    return x if not x.size or float(np.abs(x).max()) ** 2 * x.shape[1] < 2.0**53 else x.astype(np.int64).astype(object)
+    return x if not x.size or float(np.abs(x).max()) ** 2 * x.shape[1] < 2.0**53 else np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
 
 
 def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -68,9 +73,8 @@ def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k:
     ex, eq = both[:len(x)], both[len(x):]
     va = Approximation(x)
     for s in range(0, len(q), QUERIES):
-        bounds = va.upper(q[s:s + QUERIES])
+        bounds = va.upper(q[s:s + QUERIES]) + va.slack(q[s:s + QUERIES])
         for i, bound in enumerate(bounds):
-            bound = bound * (1 + 1e-9 * np.sign(bound)) + 1e-6  # above all rounding
             order = np.argsort(-bound)
             best_id, best, at, step = np.empty(0, np.int64), np.empty(0, ex.dtype), 0, 4 * k
             while at < len(order):
@@ -108,9 +112,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     """``query_id, rank, vec_id, score``: the k best of all rows for every query row."""
     ship(vectors.sparkSession)
     v = F.col(f"`{vec_col}`").cast("array<double>")
-    ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < 2.0**31)) & F.col("id").isNotNull()
+    ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("id").isNotNull()
     d = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), is_query.alias("is_query"), v.alias("v")).where(ok)
-    d = d.select("id", "is_query", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("q"), F.size("v").alias("n"))
+    d = d.select("id", "is_query", F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(x * scale)).alias("q"), F.size("v").alias("n"))
     blocks = max(1, -(-d.count() // BLOCK))
     by = F.pmod(F.xxhash64("id"), F.lit(blocks))
     all_v = d.select("id", "q", "n", by.alias("block"))

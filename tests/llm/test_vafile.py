@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sightline.llm import vafile
@@ -45,3 +46,17 @@ def test_bounds_hold():
     g = np.random.default_rng(1)
     x, q = np.floor(g.normal(0, 40, (500, 12))), np.floor(g.normal(0, 40, (20, 12)))
     assert (vafile.Approximation(x).upper(q) >= q @ x.T).all()
+
+
+def test_large_components_take_part(spark):
+    big = float(1 << 23)  # 256 times it is 2^31
+    rows = [(0, [big, 1.0]), (1, [big, -1.0]), (2, [1.0, 0.0]), (3, [-big, 2.0]), (4, [float("inf"), 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in vafile.top_k(d, F.col("vec_id") == 0, 3).orderBy("rank").collect()]
+    assert got == [(1, 2**62 - 2**16), (2, 2**39), (3, -(2**62) + 2**17)]
+    # terms of 2^80 that cancel: the kth best is told by far smaller ones
+    r = np.random.default_rng(5)
+    x = np.column_stack([np.full(400, 2.0**40), np.full(400, 2.0**40), r.integers(-500, 500, 400)])
+    q = np.array([[2.0**40, -(2.0**40), 3.0]])
+    want = sorted(((3 * int(v), -i) for i, v in enumerate(x[:, 2])), reverse=True)[:5]
+    assert vafile.search(np.arange(400), x, np.array([-1]), q, 5) == [(-1, -i, v) for v, i in want]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 class Logistic:
@@ -25,3 +27,11 @@ class Logistic:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         z = (np.clip(x, self.mean - 20 * self.scale, self.mean + 20 * self.scale) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(z @ self.w[:-1] + self.w[-1], -30, 30)))
+
+    def column(self, names: list[str]) -> Column:
+        """The same as an expression over columns."""
+        z = F.lit(float(self.w[-1]))
+        for c, m, s, w in zip(names, self.mean.tolist(), self.scale.tolist(), self.w[:-1].tolist(), strict=True):
+            x = F.least(F.greatest(F.col(c), F.lit(m - 20 * s)), F.lit(m + 20 * s))
+            z = z + (x - m) / s * w
+        return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))

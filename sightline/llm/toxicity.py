@@ -48,6 +48,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import drop_saved, saved, ship, table
+from .hashing import mix
 from .logistic import Logistic
 
 DISCOUNT, DEPTH, TOP = 0.75, 8, 4
@@ -55,7 +56,7 @@ DISCOUNT, DEPTH, TOP = 0.75, 8, 4
 LEAST, PAIR, CLEAR = 3, 4, 15.0
 #: The least factor by which a node's two probabilities differ, as a logarithm.
 FACTOR = 0.7
-#: Most labelled rows of the calibration; words that a worker remembers.
+#: Most labelled rows of the calibration; words and pairs that a worker counts before it passes them on.
 SAMPLE, CACHE = 8000, 300_000
 #: Characters of texts that are scanned at once.
 PART = 2_000_000
@@ -76,7 +77,7 @@ def path(word: str) -> list[str]:
     return [*(word[:k] for k in range(1, min(len(word), DEPTH) + 1)), word + END]
 
 
-_MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
 
 
@@ -92,44 +93,71 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
+class _Table:
+    """Values by 64-bit hash, behind a bitmap that says which hashes to look up."""
+
+    def __init__(self, entries: list[tuple[int, float]]):
+        entries = sorted(entries)
+        self.keys, self.values = np.array([h for h, _ in entries], np.uint64), np.array([r for _, r in entries])
+        self.some = np.zeros(1 << 20, bool)
+        self.some[self.keys >> np.uint64(44)] = True
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes have a value, and the values."""
+        at = np.flatnonzero(self.some[h >> np.uint64(44)]) if len(self.keys) else np.empty(0, int)
+        i = np.minimum(np.searchsorted(self.keys, h[at]), max(0, len(self.keys) - 1))
+        found = self.keys[i] == h[at] if len(at) else np.empty(0, bool)
+        return at[found], self.values[i[found]]
+
+
+def _spelt(word: str) -> int:
+    """The hash of a word's letters, as :meth:`Scorer._words` finds it."""
+    h = 0
+    for c in word:
+        h = (h + ord(c)) * int(_MIX) & (1 << 64) - 1
+    return h
+
+
+def _paired(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(mix(before) + word * np.uint64(3))
+
+
 class Scorer:
-    """Evidence of texts; remembers that of a bounded number of words."""
+    """Evidence of texts."""
 
     def __init__(self, nodes: dict[str, float]):
-        self.nodes, self.known = nodes, {}
-        self.second = {n[:n.index(END)] for n in nodes if END in n[:-1]}  # words of which the word before says something
-        # which hashes of prefixes and of whole words may say something
-        self.prefixes, self.ends = np.zeros(1 << 18, bool), np.zeros(1 << 18, bool)
-        for n in nodes:
-            (self.ends if END in n else self.prefixes)[self._hash(n[:n.index(END)] if END in n else n)] = True
-
-    @staticmethod
-    def _hash(word: str) -> int:
-        h = 0
-        for c in word:
-            h = (h + ord(c)) * int(_MIX) & (1 << 64) - 1
-        return h >> int(_SHIFT)
+        self.nodes = nodes
+        prefixes, ends, pairs = [], [], []
+        for n, r in nodes.items():
+            w, end, u = n.partition(END)
+            if u:
+                pairs.append((int(_paired(np.array([_spelt(w)], np.uint64), np.array([_spelt(u)], np.uint64))[0]), r))
+            else:
+                (ends if end else prefixes).append((_spelt(w), r))
+        self.prefixes, self.ends, self.pairs = _Table(prefixes), _Table(ends), _Table(pairs)
 
     def word(self, w: str) -> float:
         """log P(word | toxic) - log P(word | ordinary)."""
         get = self.nodes.get
         return sum([get(n, 0.0) for n in path(w)])
 
-    def _speaking(self, c: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The words that may have evidence."""
-        found, at, h = np.zeros(len(start), bool), np.arange(len(start)), np.zeros(len(start), np.uint64)
-        for k in range(40 if self.ends.any() else DEPTH):
-            more = size[at] > k
-            if not more.all():
-                at, h = at[more], h[more]
+    def _words(self, c: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence and hash of each word."""
+        e, whole = np.zeros(len(start)), np.zeros(len(start), np.uint64)
+        at, h, from_, left = np.arange(len(start)), np.zeros(len(start), np.uint64), start, size
+        for k in range(40):
             if not len(at):
                 break
-            h = (h + c[start[at] + k]) * _MIX
-            place = h >> _SHIFT
+            h = (h + c[from_ + k]) * _MIX
             if k < DEPTH:
-                found[at] |= self.prefixes[place]
-            found[at] |= self.ends[place] & (size[at] == k + 1)
-        return np.flatnonzero(found)
+                i, r = self.prefixes(h)
+                e[at[i]] += r
+            more = left > k + 1
+            whole[at[~more]] = h[~more]
+            at, h, from_, left = at[more], h[more], from_[more], left[more]
+        i, r = self.ends(whole)
+        e[i] += r
+        return e, whole
 
     def _part(self, texts: list[str], out: np.ndarray) -> None:
         s = "\n".join(texts)
@@ -143,23 +171,27 @@ class Scorer:
         skip = 40 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         start = np.repeat(run, pieces) + skip
         size = np.minimum(np.repeat(long, pieces) - skip, 40)
+        if not len(start):
+            return
         text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
-        n, best = np.bincount(text, minlength=len(texts)), [{} for _ in texts]
-        for i in self._speaking(c, start, size).tolist():
-            w = s[start[i]:start[i] + size[i]]
-            if (e := self.known.get(w)) is None:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                e = self.known[w] = self.word(w)
-            at, own = int(text[i]), e
-            if w in self.second and i and text[i - 1] == at:
-                e += self.nodes.get(w + END + s[start[i - 1]:start[i - 1] + size[i - 1]], 0.0)
-            if e or own:
-                out[at, TOP] += e
-                best[at][w] = max(best[at].get(w, own), e)
-        for at, words in enumerate(best):
-            out[at, :TOP] = sorted([*words.values(), *[0.0] * TOP], reverse=True)[:TOP]
-            out[at, TOP] /= max(1, n[at])
+        own, word = self._words(c, start, size)
+        e = own.copy()
+        i, r = self.pairs(_paired(word[1:], word[:-1]))
+        near = text[i] == text[i + 1]
+        e[i[near] + 1] += r[near]
+        out[:, TOP] = np.bincount(text, e, len(texts)) / np.maximum(1, np.bincount(text, minlength=len(texts)))
+        # each text's strongest distinct words
+        best = np.maximum(own, e)
+        at = np.flatnonzero(best > 0)
+        at = at[np.lexsort((-best[at], word[at], text[at]))]
+        if len(at):
+            new = np.append(True, (word[at][1:] != word[at][:-1]) | (text[at][1:] != text[at][:-1]))
+            at = at[new]
+            at = at[np.lexsort((-best[at], text[at]))]
+            first = np.flatnonzero(np.append(True, text[at][1:] != text[at][:-1]))
+            rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            top = rank < TOP
+            out[text[at][top], rank[top]] = best[at][top]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """Of each text: evidence of its strongest distinct words, descending, and the mean of all."""

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
 #: Bytes hashed at once; bounds the memory of a long text.
 CHUNK = 4 << 20
+#: Longer words (in bytes) are hashed one by one.
+LONG = 256
+SPACE = b" \t\n\r\x0b\x0c"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -16,15 +21,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _STEP = mix(np.arange(1000, 1256, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
-_BASE = _U(0x5851F42D4C957F2D)
-
-
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _BASE, _U)
-    p[:1] = 1
-    return np.multiply.accumulate(p)
+#: The lowest n bytes of a 64-bit value.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+_GAP = np.zeros(256, bool)
+_GAP[list(SPACE)] = True
 
 
 def _chunks(data: bytes):
@@ -32,28 +33,40 @@ def _chunks(data: bytes):
     at = 0
     while at < len(data):
         end = min(len(data), at + CHUNK)
-        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+        while end < len(data) and data[end] not in SPACE:
             end += 1
         yield data[at:end]
         at = end
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of the bytes, in order."""
+def word_hashes(data: bytes, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` of the bytes, in order.
+
+    Eight bytes at a time are added to a state that is scrambled in between, so
+    words of up to eight bytes never collide with each other, and the structure
+    of longer words does not make them collide. Lanes are independent hashes.
+    """
     out = []
     for part in _chunks(data):
-        b = np.frombuffer(part, np.uint8)
-        gap = (b == 32) | ((b >= 9) & (b <= 13))
-        first = ~gap
-        first[1:] &= gap[:-1]
-        starts = np.flatnonzero(first)
+        b = np.frombuffer(part + bytes(8), np.uint8)
+        gap = _GAP[b[:-8]]
+        edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if not len(starts):
             continue
-        lens = np.diff(np.append(starts, len(b)))
-        place = np.arange(starts[0], len(b)) - np.repeat(starts, lens)
-        v = _BYTE[b[starts[0]:]] * _powers(int(lens.max()))[place]
-        v[gap[starts[0]:]] = 0
-        out.append(mix(np.add.reduceat(v, starts - starts[0])))
+        lens = ends - starts
+        eight = np.ndarray(len(b) - 7, "<u8", b, strides=(1,))  # eight bytes from every place
+        h = lens.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(0xD1B54A32D192ED03) * _U(lane)
+        at = np.arange(len(starts))
+        for k in range(0, LONG, 8):
+            if k:
+                at = at[lens[at] > k]
+                if not len(at):
+                    break
+            h[at] = mix(h[at] ^ (eight[starts[at] + k] & _LOW[np.minimum(lens[at] - k, 8)]))
+        for i in np.flatnonzero(lens > LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(part[starts[i]:ends[i]], digest_size=8, salt=bytes([lane])).digest(), "little")
+        out.append(h)
     return np.concatenate(out) if out else np.empty(0, _U)
 
 

@@ -13,9 +13,14 @@ packed row back. There are two such rounds: the anchors, then the full windows
 round live anchors. A sequence is asked for once by a batch, so a passage that
 millions of documents share costs a bucket one entry a batch; no pairs of
 documents are ever made. Texts are shuffled once; the three passes over them
-read the same exchange.
+read the same exchange. Packed rows number batches times buckets, like the
+blocks of any shuffle between them; a row's size is what a batch has for a bucket.
 
-Cases. Null text: no words. Null id: the row is returned unchanged and is no
+Windows are told apart by 128 bits: two independent hashes of every word (see
+``hashing``), each summed over the window. Anchors only choose what to look at.
+
+Cases. Null or empty text: no words. Very long texts are hashed in parts and
+kept whole. Null id: the row is returned unchanged and is no
 reference. Rows of equal id do not remove words from each other. Fewer words
 than a window: nothing is removed. Empty tables give empty results. Only the
 two named columns are read, so further columns never clash.
@@ -65,11 +70,26 @@ def _ids(t: pa.Table) -> np.ndarray:
     return np.array([0 if i is None else i for i in t.column("id").to_pylist()], np.int64)
 
 
-def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts the hashes, and where each distinct one starts in it."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    return order, np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
+def _groups(h: np.ndarray, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the hashes (and second hashes), and where each distinct one starts in it."""
+    order = np.argsort(h, kind="stable") if g is None else np.lexsort((g, h))
+    if not len(h):
+        return order, np.empty(0, np.int64)
+    new = h[order][1:] != h[order][:-1]
+    if g is not None:
+        new |= g[order][1:] != g[order][:-1]
+    return order, np.flatnonzero(np.append(True, new))
+
+
+def _told(h: np.ndarray, g: np.ndarray, s: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Where each pair of hashes (s, z) stands in (h, g), sorted by h; -1: nowhere."""
+    at = np.searchsorted(h, s)
+    most = int(np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))).max())
+    out = np.full(len(s), -1)
+    for k in range(most):
+        i = np.minimum(at + k, len(h) - 1)
+        out[(h[i] == s) & (g[i] == z)] = i[(h[i] == s) & (g[i] == z)]
+    return out
 
 
 def _by_bucket(u: np.ndarray, n: int, bits: int) -> list[tuple[int, slice]]:
@@ -151,7 +171,7 @@ def _ask_windows(window: int, block: int, buckets: int):
         hit = np.empty(len(h), np.uint8)
         hit[order] = np.repeat(live, np.diff(np.append(at, len(order))))
         seen, ids = np.append(0, np.cumsum(hit)), _ids(t)
-        hashes, owner, at = [], [], 0
+        hashes, others, owner, at = [], [], [], 0
         for r, (i, data) in enumerate(_texts(t)):
             if i is None:
                 continue
@@ -161,31 +181,41 @@ def _ask_windows(window: int, block: int, buckets: int):
                 # a full window's blocks start at its first word up to window - block further
                 near = seen[at + window - block + 1:at + window - block + 1 + full] > seen[at:at + full]
                 if near.any():
-                    s = sequence_hashes(words, window)[near]
-                    hashes.append(s)
-                    owner.append(np.full(len(s), ids[r]))
+                    hashes.append(sequence_hashes(words, window)[near])
+                    others.append(sequence_hashes(word_hashes(data, 1), window)[near])
+                    owner.append(np.full(len(hashes[-1]), ids[r]))
             at += n
         if not hashes:
             return _rows(_ASK, [])
-        h, owner = np.concatenate(hashes), np.concatenate(owner)
-        order, at = _groups(h)
+        h, g, owner = np.concatenate(hashes), np.concatenate(others), np.concatenate(owner)
+        order, at = _groups(h, g)
         least, most = np.minimum.reduceat(owner[order], at), np.maximum.reduceat(owner[order], at)
-        u = h[order][at]
-        return _rows(_ASK, [(key[0].as_py(), b, pack_sorted(u[s]), least[s].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + np.packbits(least[s] != most[s]).tobytes()) for b, s in _by_bucket(u, buckets, 64)])
+        u, v = h[order][at], g[order][at]
+        return _rows(_ASK, [(key[0].as_py(), b, pack_sorted(u[s]), _planes(v[s]) + _planes(least[s]) + np.packbits(least[s] != most[s]).tobytes()) for b, s in _by_bucket(u, buckets, 64)])
 
     return ask
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values as byte planes."""
+    return values.astype(values.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes, n: int, at: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8 * n * at).reshape(8, -1).T).view(kind).ravel()
+
+
 def _answer_windows(batches):
     """The smallest id that has each window, where it may matter to the asking batch."""
     names, hashes, extra = _collect(batches)
     if not names:
         return
     lens = [len(x) for x in hashes]
-    least = np.concatenate([np.ascontiguousarray(np.frombuffer(e, np.uint8, 8 * n).reshape(8, -1).T).view("<i8").ravel() for e, n in zip(extra, lens, strict=True)])
-    several = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8, offset=8 * n), count=n) for e, n in zip(extra, lens, strict=True)])
+    g = np.concatenate([_from_planes(e, n, 0, "<u8") for e, n in zip(extra, lens, strict=True)])
+    least = np.concatenate([_from_planes(e, n, 1, "<i8") for e, n in zip(extra, lens, strict=True)])
+    several = np.concatenate([np.unpackbits(np.frombuffer(e, np.uint8, offset=16 * n), count=n) for e, n in zip(extra, lens, strict=True)])
     h = np.concatenate(hashes)
-    order, at = _groups(h)
+    order, at = _groups(h, g)
     smallest = np.empty(len(h), np.int64)
     smallest[order] = np.repeat(np.minimum.reduceat(least[order], at), np.diff(np.append(at, len(order))))
     tell = (smallest < least) | (several > 0)
@@ -193,7 +223,8 @@ def _answer_windows(batches):
     for name, n in zip(names, lens, strict=True):
         m = tell[end:end + n]
         if m.any():
-            rows.append((*name, h[end:end + n][m].astype("<u8").tobytes() + smallest[end:end + n][m].astype("<i8").tobytes()))
+            part = slice(end, end + n)
+            rows.append((*name, h[part][m].astype("<u8").tobytes() + g[part][m].astype("<u8").tobytes() + smallest[part][m].astype("<i8").tobytes()))
         end += n
     yield from _rows(_REPLY, rows).to_batches()
 
@@ -205,18 +236,19 @@ def _remove(window: int, texts: bool):
     schema = _OUT if texts else _OUT.rpartition(",")[0]
 
     def out(key, t, replies):
-        known = [np.frombuffer(x, "<u8").reshape(2, -1) for x in replies.column("reply").to_pylist()]
-        h, least = np.concatenate(known, axis=1) if known else np.empty((2, 0), _U)
+        known = [np.frombuffer(x, "<u8").reshape(3, -1) for x in replies.column("reply").to_pylist()]
+        h, g, least = np.concatenate(known, axis=1) if known else np.empty((3, 0), _U)
         order = np.argsort(h)
-        h, least = h[order], least[order].view(np.int64)
+        h, g, least = h[order], g[order], least[order].view(np.int64)
         rows = []
         for i, data in _texts(t):
             words = data.split()
             gone = np.zeros(len(words), bool)
             if i is not None and len(h) and len(words) >= window:
                 s = sequence_hashes(word_hashes(data), window)
-                at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-                starts = np.flatnonzero((h[at] == s) & (least[at] < i))
+                asked = np.flatnonzero(h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s)
+                at = _told(h, g, s[asked], sequence_hashes(word_hashes(data, 1), window)[asked]) if len(asked) else asked
+                starts = asked[(at >= 0) & (least[at] < i)]
                 edge = np.zeros(len(words) + 1, np.int64)
                 edge[starts] += 1
                 np.subtract.at(edge, starts + window, 1)

@@ -55,3 +55,29 @@ def test_long_text_is_hashed_in_parts(monkeypatch):
     whole = hashing.word_hashes(data)
     monkeypatch.setattr(hashing, "CHUNK", 37)
     assert (hashing.word_hashes(data) == whole).all() and len(whole) == 1500
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words and their complements agree in every polynomial hash modulo 2^64; they are different words."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    p = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([a, *p])), (2, " ".join([b, *p])), (3, " ".join([a, *p])), (4, " ".join([*p, a[:200]])), (5, " ".join([*p, b[:200]]))]
+    got = run(spark, rows)
+    assert got == brute(rows) and [r[2] for r in got] == [0, 0, 13, 0, 0]
+
+
+def test_windows_with_equal_first_hash_are_told_apart():
+    import numpy as np
+
+    h, g = np.array([3, 5, 5, 9], np.uint64), np.array([1, 1, 2, 1], np.uint64)
+    s, z = np.array([5, 5, 5, 9, 4], np.uint64), np.array([2, 1, 7, 1, 1], np.uint64)
+    assert substring._told(h, g, s, z).tolist() == [2, 1, -1, 3, -1]
+    order, at = substring._groups(np.array([5, 5, 5], np.uint64), np.array([2, 1, 2], np.uint64))
+    assert order.tolist() == [1, 0, 2] and at.tolist() == [0, 1]
+
+
+def test_very_long_text_against_brute_force(spark):
+    rows = [(1, " ".join(f"u{i % 5000}" for i in range(60_000))), (2, " ".join(f"u{i}" for i in range(4000, 5200))), (3, "x" * 300_000 + " " + " ".join(f"u{i}" for i in range(4990)))]
+    assert run(spark, rows) == brute(rows)

@@ -7,15 +7,18 @@ scanning its approximations (two matrix products give all upper bounds), then
 reading exact vectors in the order of their bounds until the kth best score is
 above every bound left. Scores and the order of ties are exact.
 
-How it runs. Vectors are dealt into blocks by a hash; the queries, a stated and
-much smaller set, are sent to each block; each block returns its k best for a
+How it runs. Vectors and queries (a stated set) are dealt into blocks by hashes,
+and each pair of blocks is one cell of a grid: a task holds ``BLOCK`` vectors and
+``QUERIES`` queries whatever the tables' sizes. A cell returns its k best for a
 query, and the k best of those are taken. Work is queries times vectors, as the
-contract states all rows as candidates, in blocks of matrix products.
+contract states all rows as candidates, in blocks of matrix products; a query
+travels once for each block of vectors, a vector once for each of queries.
 
 Cases. Vectors null, empty, or with a null or non-finite component take no part.
 Only vectors of equal length meet. A query is not its own candidate: rows of its
-id are left out. Repeated ids are candidates of their own. Fewer than k
-candidates: all. Ties go to the smaller id. Large components are reckoned with as
+id are left out. Repeated ids are candidates of their own, and each query row has
+k results of its own. Null ids take no part. Empty tables give empty results; no
+text is read, and further columns never clash. Fewer than k candidates: all. Ties go to the smaller id. Large components are reckoned with as
 Python integers; a score among the k best that does not fit a long is an error.
 """
 
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from ..session import ship, table
 
 CELL_BITS = 4
-#: Vectors of a block, and queries searched at once.
-BLOCK, QUERIES = 8192, 256
+#: Vectors and queries of a cell, and queries searched at once.
+BLOCK, QUERIES, AT_ONCE = 8192, 8192, 256
 
 
 class Approximation:
@@ -50,15 +53,18 @@ class Approximation:
             self.low[c] = np.where(inside, x, np.inf).min(axis=0)
             self.high[c] = np.where(inside, x, -np.inf).max(axis=0)
 
+        dims = np.arange(x.shape[1])
+        # what the cells' edges are for each vector
+        self.from_, self.to = self.low[self.cells, dims].T, self.high[self.cells, dims].T
+        self.size = np.maximum(np.abs(self.from_), np.abs(self.to))
+
     def slack(self, q: np.ndarray) -> np.ndarray:
         """For all queries and vectors, more than the rounding of their bound: its terms may cancel."""
-        dims = np.arange(self.cells.shape[1])
-        return 1e-9 * (np.abs(q) @ np.maximum(np.abs(self.low), np.abs(self.high))[self.cells, dims].T) + 1e-6
+        return 1e-9 * (np.abs(q) @ self.size) + 1e-6
 
     def upper(self, q: np.ndarray) -> np.ndarray:
         """Upper bounds of the inner products of all queries (rows) and vectors."""
-        dims = np.arange(self.cells.shape[1])
-        return np.maximum(q, 0) @ self.high[self.cells, dims].T + np.minimum(q, 0) @ self.low[self.cells, dims].T
+        return np.maximum(q, 0) @ self.to + np.minimum(q, 0) @ self.from_
 
 
 def _exact(x: np.ndarray) -> np.ndarray:
@@ -67,13 +73,13 @@ def _exact(x: np.ndarray) -> np.ndarray:
 
 
 def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of each query's k best in the block."""
+    """(query's place, vector id, score) of each query's k best in the block."""
     out = []
     both = _exact(np.concatenate([x, q]))
     ex, eq = both[:len(x)], both[len(x):]
     va = Approximation(x)
-    for s in range(0, len(q), QUERIES):
-        bounds = va.upper(q[s:s + QUERIES]) + va.slack(q[s:s + QUERIES])
+    for s in range(0, len(q), AT_ONCE):
+        bounds = va.upper(q[s:s + AT_ONCE]) + va.slack(q[s:s + AT_ONCE])
         for i, bound in enumerate(bounds):
             order = np.argsort(-bound)
             best_id, best, at, step = np.empty(0, np.int64), np.empty(0, ex.dtype), 0, 4 * k
@@ -86,7 +92,7 @@ def search(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k:
                 top = sorted(range(len(all_id)), key=lambda j: (-all_score[j], all_id[j]))[:k] if ex.dtype == object else np.lexsort((all_id, -all_score))[:k]
                 best_id, best = all_id[top], all_score[top]
                 at, step = at + step, 2 * step
-            out += [(int(q_ids[s + i]), int(v), int(z)) for v, z in zip(best_id, best, strict=True)]
+            out += [(s + i, int(v), int(z)) for v, z in zip(best_id, best, strict=True)]
     return out
 
 
@@ -97,13 +103,15 @@ def _block(k: int):
         if vectors.num_rows and queries.num_rows:
             vi, vn, vq = kinds(vectors)
             qi, qn, qq = kinds(queries)
+            copy = queries.column("copy").to_numpy()
             pick = lambda a, m, n: a.filter(pa.array(m)).flatten().to_numpy().astype(np.float64).reshape(-1, n)
             for n in np.unique(qn):
                 a, b = vn == n, qn == n
                 if a.any():
-                    found += search(vi[a], pick(vq, a, n), qi[b], pick(qq, b, n), k)
-        q, v, s = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
+                    own, nth = qi[b], copy[b]
+                    found += [(int(own[i]), int(nth[i]), v, z) for i, v, z in search(vi[a], pick(vq, a, n), own, pick(qq, b, n), k)]
+        cols = list(zip(*found, strict=True)) or [()] * 4
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "copy", "vec_id", "score"), cols, strict=True)})
 
     return run
 
@@ -115,12 +123,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("id").isNotNull()
     d = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), is_query.alias("is_query"), v.alias("v")).where(ok)
     d = d.select("id", "is_query", F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(x * scale)).alias("q"), F.size("v").alias("n"))
-    blocks = max(1, -(-d.count() // BLOCK))
-    by = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    all_v = d.select("id", "q", "n", by.alias("block"))
-    asked = d.where("is_query").select("id", "q", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    best = all_v.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_block(k), "query_id long, vec_id long, score long")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    n = d.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("is_query"), 1)).alias("asked")).first()
+    blocks, asking = max(1, -(-n["all"] // BLOCK)), max(1, -(-n["asked"] // QUERIES))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = lambda k, *by: F.pmod(F.xxhash64(*by), F.lit(k)).cast("int")
+    all_v = d.select("id", "q", "n", dealt(blocks, "id", "q").alias("block"), each(asking).alias("part"))
+    queries = d.where("is_query").withColumn("copy", F.row_number().over(W.partitionBy("id").orderBy("q")).cast("long"))
+    asked = queries.select("id", "copy", "q", "n", dealt(asking, "id", "copy").alias("part"), each(blocks).alias("block"))
+    best = all_v.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(_block(k), "query_id long, copy long, vec_id long, score long")
+    w = W.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -133,10 +144,12 @@ SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY q) AS copy FROM v WHERE vec_id % 50 = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  SELECT a.vec_id AS query_id, copy, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, copy ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

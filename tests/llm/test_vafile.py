@@ -30,6 +30,7 @@ def test_random_ties_and_blocks(spark, monkeypatch):
     want = brute(rows, 5, 10)
     assert run(spark, rows, every=10) == want
     monkeypatch.setattr(vafile, "BLOCK", 100)
+    monkeypatch.setattr(vafile, "QUERIES", 9)
     assert run(spark, rows, every=10) == want
 
 
@@ -59,4 +60,11 @@ def test_large_components_take_part(spark):
     x = np.column_stack([np.full(400, 2.0**40), np.full(400, 2.0**40), r.integers(-500, 500, 400)])
     q = np.array([[2.0**40, -(2.0**40), 3.0]])
     want = sorted(((3 * int(v), -i) for i, v in enumerate(x[:, 2])), reverse=True)[:5]
-    assert vafile.search(np.arange(400), x, np.array([-1]), q, 5) == [(-1, -i, v) for v, i in want]
+    assert vafile.search(np.arange(400), x, np.array([-1]), q, 5) == [(0, -i, v) for v, i in want]
+
+
+def test_repeated_query_rows_have_results_of_their_own(spark):
+    rows = [(50, [0.5, 0.0]), (50, [0.5, 0.0]), (50, [0.0, 0.5]), *((i, [i / 10, 1.0 - i / 10]) for i in range(1, 9))]
+    got = run(spark, rows, 3)
+    assert got == brute(rows, 3, 50) and len(got) == 9 and {r[1] for r in got} == {1, 2, 3}
+    assert [r[2] for r in got if r[1] == 1] == [1, 8, 8]

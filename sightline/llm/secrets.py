@@ -12,7 +12,12 @@ words and are not found.
 A row is scanned by itself, in Arrow batches; nothing is shuffled.
 
 Cases. Null or empty text: no spans. Offsets are code points, ends exclusive.
-Null ids are passed on; repeated rows are scanned each.
+Null ids are passed on; repeated rows are scanned each; empty tables give empty
+results. Very long texts are scanned whole, in time linear in their runs and
+spans (runs beyond ``PART`` characters are judged in parts, which are joined). A
+column of ``keep`` must not be named like a result; other columns never clash.
+Random names that are no secrets, such as UUIDs, are marked too: nothing in
+their characters tells them apart.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST, RATIO, RATIO_EACH = 20, 12.0, 0.4
 #: Shorter stretches, down to this, count if they have letters and digits: fewer letters alone are often a word.
 SHORTEST = 8
+#: Characters of a run that are judged together, so that time stays linear in very long runs.
+PART = 1 << 14
 #: What ends a token within a run.
 SEPARATORS = "/=-_"
 # an equals sign ends a run, as a name's or as padding
@@ -107,17 +114,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)])
 
 
-def _pieces(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """What the base spans leave of a run."""
+def _free(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the covered stretches (disjoint, in order, all ending after the start) leave of a run."""
     out = []
-    for a, _, z in base:
-        if a < end and start < z:
-            if start < a:
-                out.append((start, a))
-            start = max(start, z)
+    for a, z in covered:
+        if a >= end:
+            break
+        if start < a:
+            out.append((start, a))
+        start = z
     return [*out, (start, end)] if start < end else out
 
 
+def _union(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of their starts as disjoint stretches."""
+    out: list[tuple[int, int]] = []
+    for a, _, z in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(z, out[-1][1])
+        else:
+            out.append((a, z))
+    return out
+
+
 def _random(s: str) -> bool:
     if len(s) < SHORTEST or len(s) < LEAST and not _MIXED.search(s):
         return False
@@ -127,15 +146,17 @@ def _random(s: str) -> bool:
 
 def _to_tokens(s: str, start: int, end: int) -> tuple[int, int]:
     """A stretch with the tokens at its ends whole: those more than half in it; others go."""
-    cut = [-1, *(i for i, c in enumerate(s) if c in SEPARATORS), len(s)]
+    before = max(s.rfind(x, 0, start) for x in SEPARATORS) + 1
+    after = min((i for x in SEPARATORS if (i := s.find(x, end)) >= 0), default=len(s))
+    cut = [before - 1, *(i for i in range(before, after) if s[i] in SEPARATORS), after]
     whole = [(a + 1, z) for a, z in zip(cut[:-1], cut[1:], strict=True) if 2 * (min(z, end) - max(a + 1, start)) > z - a - 1]
     a, z = (whole[0][0], whole[-1][1]) if whole else (start, end)
     return (a, z) if _random(s[a:z]) else (start, end)
 
 
 def stretches(run: str) -> list[tuple[int, int]]:
-    """Where a run is random: all of it, or its best stretch, and what lies beside that."""
-    out, left = [], [(0, len(run))]
+    """Where a run is random: all of it, or its best stretch, and what lies beside that. Runs over ``PART`` are taken in parts."""
+    out, left = [], [(a, min(a + PART, len(run))) for a in range(0, len(run), PART)]
     while left:
         a, z = left.pop()
         s = run[a:z]
@@ -149,14 +170,27 @@ def stretches(run: str) -> list[tuple[int, int]]:
                 start, end = _to_tokens(s, start, end)
                 out.append((a + start, a + end))
                 left += [(a, a + start), (a + end, z)]
-    return sorted(out)
+    # parts of one random run are one stretch
+    joined: list[tuple[int, int]] = []
+    for a, z in sorted(out):
+        if joined and a == joined[-1][1] and a % PART == 0:
+            joined[-1] = joined[-1][0], z
+        else:
+            joined.append((a, z))
+    return joined
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that only the models find."""
-    out = []
+    out, covered, at = [], _union(base), 0
     for m in _RUN.finditer(text):
-        for s, e in _pieces(*m.span(), base):
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        last = at
+        while last < len(covered) and covered[last][0] < end:
+            last += 1
+        for s, e in _free(start, end, covered[at:last]):
             out += [(s + a, 3, s + z) for a, z in stretches(text[s:e])]
     return out
 

@@ -1,5 +1,8 @@
 import hashlib
+import random
 import re
+import string
+import time
 
 from sightline.llm import secrets as s
 
@@ -61,3 +64,41 @@ def test_keys_within_runs_and_short_keys(spark):
     assert found(f"{long} customerTransaction2 2024-10-31 section/article/12 version_10 keitgezu") == []
     d = spark.createDataFrame([(1, f"a {long}={KEY}! b")], "doc_id long, text string")
     assert s.scan(d, redacted=True).first().redacted == f"a {long}=<markov>! b"
+
+
+def test_planted_keys_of_many_alphabets():
+    r = random.Random(7)
+    kinds = {"base62": string.ascii_letters + string.digits, "lower": string.ascii_lowercase + string.digits, "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "url": string.ascii_letters + string.digits + "-_"}
+    for name, letters in kinds.items():
+        hit = 0
+        for _ in range(300):
+            key = "".join(r.choice(letters) for _ in range(r.choice((24, 32, 40))))
+            text = f"the {r.choice(s.WORDS)} uses {key} and {r.choice(s.WORDS)}"
+            hit += any(a <= 9 + len(text.split()[1]) + 1 + len(key) // 2 < e for a, _, e in s.added_spans(text, []))
+        assert hit > 0.95 * 300, (name, hit)
+
+
+def test_time_is_linear_in_spans_and_runs():
+    def seconds(text):
+        t = time.perf_counter()
+        base = s.base_spans(text)
+        s.added_spans(text, base)
+        return time.perf_counter() - t
+
+    unit = f"token={KEY}/x {'0f' * 20} {KEY[::-1]}thing "
+    small, large = seconds(unit * 500), seconds(unit * 5000)
+    assert large < 25 * small + 1
+    long = "".join(random.Random(3).choice("abcdefghij/klmnop-") for _ in range(400_000))
+    assert seconds(long) < 20
+
+
+def test_long_random_run_is_one_span():
+    r = random.Random(4)
+    key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(3 * s.PART + 100))
+    assert s.added_spans(f"a {key} b", []) == [(2, 3, 2 + len(key))]
+
+
+def test_covered_parts_are_left_out():
+    assert s._union([(1, 0, 5), (2, 2, 9), (9, 1, 12), (20, 0, 22)]) == [(1, 12), (20, 22)]
+    assert s._free(0, 30, [(1, 12), (20, 22)]) == [(0, 1), (12, 20), (22, 30)]
+    assert s._free(5, 10, [(1, 12)]) == [] and s._free(5, 10, []) == [(5, 10)]

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 
@@ -49,9 +50,36 @@ def test_marked_text_is_kept_and_boilerplate_dropped_whatever_stands_near():
     g = np.random.default_rng(1)
     x = np.column_stack([np.ones(5000), g.integers(1, 300, 5000), g.random(5000) * 0.5, g.integers(0, 300, 5000), g.random(5000), g.integers(0, 300, 5000), g.random(5000)])
     assert h.classify(h.grow(h.LABELLED), x).all()
-    x[:, 0], x[:, 2] = 2, g.random(5000)
+    x[:, 0], x[:, 2] = h.OTHER, g.random(5000)
     assert not h.classify(h.grow(h.LABELLED), x).any()
 
 
 def test_tree_fits_its_table():
     assert (h.classify(h.grow(h.LABELLED), h.LABELLED[:, :-1]) == h.LABELLED[:, -1]).mean() > 0.95
+
+
+def test_words_and_links_decide_where_no_mark_does():
+    """Unmarked and hinted blocks: the tree differs from what the zone alone would say, both ways."""
+    para, short = " ".join(["word"] * 60), "<a href=1>One</a>"
+    page = f"<body><div>{short}</div><div>{short}</div><div class='share-page'><p>{para}</p><p>{para}</p></div><div class='share-box'><p>{short}</p><p>{short}</p></div><article><p>{para}</p><ul><li>{short}</li><li>{short}</li><li>{short}</li></ul></article></body>"
+    found = h.blocks(page)
+    kept = h.classify(h.grow(h.LABELLED), h.features(found))
+    assert h.main_text(page).split("\n").count(para) == 3 and h.main_text(page).startswith(f"{para}\n{para}\n")
+    assert {(z, k) for (_, z, _, _), k in zip(found, kept.tolist(), strict=True)} >= {(h.ARTICLE, 1), (h.ARTICLE, 0), (h.HINT, 1), (h.HINT, 0), (h.PLAIN, 0)}
+    assert sum((z == h.ARTICLE) != bool(k) for (_, z, _, _), k in zip(found, kept.tolist(), strict=True)) >= 3
+
+
+def test_references_are_decoded_within_a_text_node():
+    assert h.main_text("<article><p>&<b>amp;</b> &amp;lt; &#x41;&eacute;<!-- x -->acute;</p></article>") == "&amp; &lt; Aéacute;"
+
+
+def test_time_is_linear_in_the_page():
+    def seconds(page):
+        t = time.perf_counter()
+        h.main_text(page)
+        return time.perf_counter() - t
+
+    for unit in ("<a ", "<a x='", '<a x="<b y=\'', "<!x", "</script ", "<script></script ", "<div></span>", "<div>", "</div>", "& < ", "<a x=", "<p>a", '<p class="share-x">'):
+        seconds(unit * 1000)
+        assert seconds(unit * 40_000) < 3, unit
+    assert h.main_text("<article>a <b" * 3) == "a a a <b"  # only the last never ends

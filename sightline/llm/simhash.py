@@ -12,16 +12,20 @@ How it runs. Equal fingerprints are first joined by a grouped minimum, so exact
 copies cost nothing later. Distinct fingerprints are dealt by table and masked
 value, sorted, and read group by group; a group yields links to the members'
 local roots only (fewer links than members), found by direct comparison in
-blocks. A group of over ``large`` members is dealt a second time, by four
-blocks of its uncompared positions (of at most three differing positions one
-block of four is free), so no hot group stays in one task. Components of the
-links come from the engine's component operator.
+blocks. A group is held up to ``large`` members; what goes beyond is passed on row
+by row and dealt again, by r + 1 blocks of its uncompared positions (of at most r
+differing positions one block is free), at most ``LEVELS`` times. In the last
+deal so few positions are left open (14 for r = 3) that the distinct fingerprints
+of a group number at most two to that power, so no task holds an unbounded
+group. Components of the links come from the engine's component operator.
 
 Cases. Null text or a text without words: fingerprint zero, linked like any
 other. Fewer words than a shingle: the whole sequence is one shingle. Null id:
 a row with its fingerprint; the component is that of its fingerprint, null if no
-row with an id has it. Repeated ids: each row is returned. Empty tables give
-empty results.
+row with an id has it. Repeated ids: each row is returned. Ties: all of several
+fingerprints at the same distance are linked. Very long texts are hashed whole,
+bits counted in parts. Empty tables give empty results. Only the two named
+columns are read, so further columns never clash.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ _U = np.uint64
 BITS, SEED = 64, 42
 #: Hashes whose bits are counted at once.
 CHUNK = 1 << 16
+#: How often groups that are too large are dealt again.
+LEVELS = 3
 
 
 def fingerprint(data: bytes, k: int = 3) -> int:
@@ -106,20 +112,25 @@ def _links(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, int
 
 
 def _grouped(radius: int, large: int | None):
-    """Reads rows sorted by key; yields links, or the rows of groups over ``large`` again."""
+    """Reads rows sorted by table and key; yields links (table -1), or the rows of groups over ``large`` again."""
+
+    def batch(t, a, b):
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (t, a, b)], names=["t", "a", "b"])
 
     def run(batches):
-        key, held = None, []
+        key, held, n, over = None, [], 0, False
+
+        def passed():
+            a = np.concatenate(held)
+            held.clear()
+            return batch(a[:, 0], a[:, 2], a[:, 3])
 
         def end():
+            if over:
+                return passed() if held else None
             a = np.concatenate(held)
-            if len(a) < 2:
-                return None
-            if large and len(a) > large:
-                t = a[:, 0]
-                return pa.record_batch([pa.array(t), pa.array(a[:, 2]), pa.array(a[:, 3])], names=["t", "a", "b"])
-            found = np.array(_links(a[:, 2].view(_U), a[:, 3], radius), np.int64).reshape(-1, 2)
-            return pa.record_batch([pa.array(np.full(len(found), -1)), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["t", "a", "b"]) if len(found) else None
+            found = np.array(_links(a[:, 2].view(_U), a[:, 3], radius), np.int64).reshape(-1, 2) if len(a) > 1 else ()
+            return batch(np.full(len(found), -1), found[:, 0], found[:, 1]) if len(found) else None
 
         for b in batches:
             a = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
@@ -127,13 +138,16 @@ def _grouped(radius: int, large: int | None):
                 continue
             cuts = np.flatnonzero((a[1:, :2] != a[:-1, :2]).any(axis=1)) + 1
             for part in np.split(a, cuts) if len(cuts) < 64 else _several(a, cuts):
-                if key is not None and key == (part[0, 0], part[0, 1]):
-                    held.append(part)
-                    continue
-                if held and (out := end()):
-                    yield out
-                key, held = (part[0, 0], part[0, 1]), [part]
-        if held and (out := end()):
+                if key != (part[0, 0], part[0, 1]):
+                    if key is not None and (out := end()):
+                        yield out
+                    key, held, n, over = (part[0, 0], part[0, 1]), [], 0, False
+                held.append(part)
+                n += len(part)
+                over = bool(large) and n > large
+                if over:
+                    yield passed()
+        if key is not None and (out := end()):
             yield out
 
     return run
@@ -150,22 +164,36 @@ def _several(a: np.ndarray, cuts: np.ndarray):
 
 def links(nodes: DataFrame, radius: int = 3, large: int = 2000) -> DataFrame:
     """``a, b``: links of ``fp, node`` rows whose components are those of all pairs within the radius."""
-    tables = F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(m).bitwiseAND(F.col("fp")).alias("key")) for t, m in enumerate(masks(radius))]))
-    cols = ["t", "key", "fp", "node"]
-    dealt = lambda d: d.repartition("t", "key").sortWithinPartitions("t", "key")
-    first = dealt(nodes.select(tables.alias("x"), "fp", "node").select("x.t", "x.key", "fp", "node")).select(*cols)
-    first, _ = saved(first.mapInArrow(_grouped(radius, large), "t long, a long, b long"), "near")
-    again = first.where("t >= 0").select("t", F.col("a").alias("fp"), F.col("b").alias("node"))
-    # positions that the table leaves open, in radius + 1 blocks: one of them is free of differences
-    cells = []
-    for t, m in enumerate(masks(radius)):
-        open_bits = [i for i in range(BITS) if not m >> i & 1]
-        for j in range(radius + 1):
-            cells.append((t, j, _signed(m & (1 << 64) - 1 | sum(1 << i for i in open_bits[j::radius + 1]))))
-    per_table = F.array(*[F.array(*[F.struct(F.lit(t * (radius + 1) + j).cast("long").alias("t"), F.lit(m).alias("m")) for u, j, m in cells if u == t]) for t in range(len(masks(radius)))])
-    again = again.select(F.explode(per_table[F.col("t").cast("int")]).alias("x"), "fp", "node").select("x.t", F.col("x.m").bitwiseAND(F.col("fp")).alias("key"), "fp", "node")
-    second = dealt(again).select(*cols).mapInArrow(_grouped(radius, None), "t long, a long, b long")
-    return first.where("t < 0").select("a", "b").union(second.select("a", "b"))
+    again, found, cells = nodes.select(F.lit(0).cast("long").alias("t"), "fp", "node"), [], [masks(radius)]
+    for level in range(LEVELS + 1):
+        # the masks of each cell of the level before
+        by_cell = F.array(*[F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.lit(_signed(m & (1 << 64) - 1)).alias("m")) for t, m in part]) for part in _numbered(cells)])
+        dealt = again.select(F.explode(by_cell[F.col("t").cast("int")]).alias("x"), "fp", "node").select("x.t", F.col("x.m").bitwiseAND(F.col("fp")).alias("key"), "fp", "node")
+        dealt = dealt.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "fp", "node")
+        out, _ = saved(dealt.mapInArrow(_grouped(radius, large if level < LEVELS else None), "t long, a long, b long"), "near")
+        found.append(out.where("t < 0").select("a", "b"))
+        again = out.where("t >= 0").select("t", F.col("a").alias("fp"), F.col("b").alias("node"))
+        if level == LEVELS or not again.limit(1).count():
+            break
+        cells = [_finer(m, radius) for part in cells for m in part]
+    links_, *rest = found
+    for r in rest:
+        links_ = links_.union(r)
+    return links_
+
+
+def _numbered(cells: list[list[int]]):
+    """Each cell's masks, numbered on."""
+    n = 0
+    for part in cells:
+        yield list(enumerate(part, n))
+        n += len(part)
+
+
+def _finer(mask: int, radius: int) -> list[int]:
+    """The mask with one of radius + 1 blocks of its open positions more: one of them is free of differences."""
+    open_bits = [i for i in range(BITS) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in open_bits[j::radius + 1]) for j in range(radius + 1)]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 3) -> DataFrame:

@@ -75,3 +75,38 @@ def test_nulls_and_empty(spark):
 def test_chain(spark):
     e = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components.components(e).collect()} == {0}
+
+
+def test_a_group_of_20000_near_equal_fingerprints(spark, monkeypatch):
+    """Most share all masks of some table; no task holds more than ``large`` of a group before the last deal."""
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    fps = list({base ^ sum(1 << i for i in r.sample(range(64), r.randint(0, 4))) for _ in range(22_000)})[:20_000]
+    far = [base ^ ((1 << 64) - 1) ^ sum(1 << i for i in r.sample(range(64), 20)) for _ in range(20)]
+    nodes = spark.createDataFrame([(simhash._signed(x), i) for i, x in enumerate(fps + far)], "fp long, node long")
+    got = dict(map(tuple, components.components(simhash.links(nodes, large=1000)).collect()))
+    near = {i for i, x in enumerate(fps) if (x ^ base).bit_count() <= 3}
+    assert len({got.get(i, i) for i in near}) == 1 and len(near) > 5_000
+    assert all(got.get(len(fps) + i, len(fps) + i) == len(fps) + i for i in range(20) if min((far[i] ^ x).bit_count() for x in far[:i] + far[i + 1:]) > 3)
+
+
+def test_large_groups_are_passed_on_in_parts():
+    import numpy as np
+    import pyarrow as pa
+
+    def batches():
+        for i in range(50):
+            n = np.arange(i * 100, i * 100 + 100)
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (n * 0 + 2, n * 0 + 7, n, n)], names=["t", "key", "fp", "node"])
+        yield pa.record_batch([pa.array(np.array(x)) for x in ([2, 2], [8, 8], [1, 3], [11, 10])], names=["t", "key", "fp", "node"])
+
+    out = list(simhash._grouped(3, 1000)(batches()))
+    assert max(b.num_rows for b in out) <= 1100 and sum(b.num_rows for b in out) == 5001
+    assert [r for b in out for r in b.to_pylist() if r["t"] < 0] == [{"t": -1, "a": 11, "b": 10}]
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    t = " ".join(f"w{i % 3000}" for i in range(70_000))
+    d = spark.createDataFrame([(1, t, 0, 0), (2, t, 0, 0), (3, None, 0, 0)], "doc_id long, text string, fp int, component_id int")
+    got = {r.id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(d).collect()}
+    assert got == {1: (brute_fp(t), 1), 2: (brute_fp(t), 1), 3: (0, 3)}

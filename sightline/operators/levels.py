@@ -51,13 +51,10 @@ def local_moments(px: DataFrame, radius: int) -> DataFrame:
 
 
 def adaptive(px: DataFrame, radius: int, method: str, k: float, span: float = 128.0) -> DataFrame:
-    """Region above a local threshold: mean (mean - k), niblack (mean + k s), sauvola, wolf."""
+    """Region above a local threshold: mean (mean - k), niblack (mean + k s), sauvola, wolf (its local form)."""
     m, s = F.col("mean"), F.col("deviation")
     d = local_moments(px, radius)
-    if method == "wolf":
-        whole = px.groupBy("image_id").agg(F.min("v").alias("_lo"))
-        d = d.join(whole, "image_id").join(d.groupBy("image_id").agg(F.max("deviation").alias("_sd")), "image_id")
-    limits = {"mean": m - k, "niblack": m + k * s, "sauvola": m * (1 + k * (s / span - 1)), "wolf": m - k * (1 - s / F.col("_sd")) * (m - F.col("_lo"))}
+    limits = {"mean": m - k, "niblack": m + k * s, "sauvola": m * (1 + k * (s / span - 1)), "wolf": m - k * (1 - s / span) * m}
     if method not in limits:
         raise ValueError(f"unknown method {method!r}")
     return d.where(F.col("v") > limits[method]).select(*r.KEY)
@@ -110,13 +107,15 @@ def local_maxima(px: DataFrame) -> DataFrame:
 
 
 def match_histogram(px: DataFrame, reference: DataFrame) -> DataFrame:
-    """Each grey value becomes the least one whose share in the reference reaches its own; a reference has at most 256 values."""
+    """Each grey value becomes the one whose share in the reference is nearest to its own, the least of equals; a reference has at most 256 values."""
     c = r.cdf(px).select("image_id", "v", "c", "total")
     ref = r.cdf(reference).groupBy().agg(F.array_sort(F.collect_list(F.struct("v", "c", "total"))).alias("_r"))
-    # one row
-    hit = F.get(F.filter("_r", lambda s: s["c"] * F.col("total") >= F.col("c") * s["total"]), 0)["v"]
-    table = c.join(F.broadcast(ref)).select("image_id", "v", hit.alias("u"))
-    return px.join(table, ["image_id", "v"]).select(*r.KEY, F.col("u").alias("v"))
+    # values that the reference lacks have the share of the value below them, 0 before the first
+    options = F.concat(F.when(F.element_at("_r", 1)["v"] > 0, F.array(F.struct(F.lit(0).alias("v"), F.lit(0).cast("long").alias("c"), F.element_at("_r", 1)["total"].alias("total")))).otherwise(F.slice("_r", 1, 0)), F.col("_r"))
+    gap = lambda s: F.abs(s["c"] * F.col("total") - F.col("c") * s["total"])
+    best = F.array_min(F.transform(options, lambda s: F.struct(gap(s).alias("gap"), s["v"].alias("v"))))["v"]
+    lut = c.join(F.broadcast(ref)).select("image_id", "v", best.alias("u"))  # one row
+    return px.join(lut, ["image_id", "v"]).select(*r.KEY, F.col("u").alias("v"))
 
 
 def distances(px: DataFrame, threshold: int, metric: str) -> DataFrame:

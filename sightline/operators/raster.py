@@ -63,15 +63,23 @@ def dyn_threshold(px: DataFrame, ref: DataFrame, offset: int, mode: str = "light
     return px.join(ref.withColumnRenamed("v", "v2"), KEY).where(test).select(*KEY)
 
 
-def padded(px: DataFrame, rx: int, ry: int) -> DataFrame:
-    """The images with borders mirrored about their edge pixels (each image larger than the radii)."""
+def padded(px: DataFrame, rx: int, ry: int, border: str = "mirror") -> DataFrame:
+    """The images with borders mirrored about their edge pixels (each image larger than the radii), or with the edge pixels repeated ("clamp")."""
+    if border not in ("mirror", "clamp"):
+        raise ValueError(f"unknown border {border!r}")
     dims = px.groupBy("image_id").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
 
     def places(c, last, r):
-        own, low, high = F.col(c), F.when((F.col(c) > 0) & (F.col(c) <= r), -F.col(c)), F.when((F.col(c) < F.col(last)) & (F.col(c) >= F.col(last) - r), 2 * F.col(last) - F.col(c))
-        return F.explode(F.array_compact(F.array(own, low, high)) if r else F.array(own))
-
-    d = px.join(dims, "image_id").withColumn("_inner", F.lit(True))
+        own = F.array(F.col(c))
+        if not r:
+            return F.explode(own)
+        if border == "clamp":
+            beyond = lambda at, a, b: F.when(F.col(c) == at, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+            return F.explode(F.concat(own, beyond(F.lit(0), F.lit(-r), F.lit(-1)), beyond(F.col(last), F.col(last) + 1, F.col(last) + r)))
+        low, high = F.when((F.col(c) > 0) & (F.col(c) <= r), -F.col(c)), F.when((F.col(c) < F.col(last)) & (F.col(c) >= F.col(last) - r), 2 * F.col(last) - F.col(c))
+        return F.explode(F.array_compact(F.array(F.col(c), low, high)))
+
+    d = px.join(dims, "image_id")
     d = d.select("image_id", "_h", "_w", "v", "x", places("y", "_h", ry).alias("y"))
     return d.select("image_id", "_h", "_w", "v", "y", places("x", "_w", rx).alias("x"))
 
@@ -109,12 +117,30 @@ def dilate(px: DataFrame, r: int) -> DataFrame:
     return box_aggregate(px, r, r, F.max)
 
 
-def rank(px: DataFrame, r: int, at: float) -> DataFrame:
-    """An order statistic of a square window (0.5: median)."""
-    n = 2 * r + 1
-    d = padded(px, r, r).withColumn("s", F.collect_list("v").over(row_().rowsBetween(-r, r)))
+def window_values(px: DataFrame, r: int) -> DataFrame:
+    """Pixels with ``t``: all values of a square window, edge pixels repeated beyond the border."""
+    d = padded(px, r, r, "clamp").withColumn("s", F.collect_list("v").over(row_().rowsBetween(-r, r)))
     d = d.withColumn("t", F.flatten(F.collect_list("s").over(col_().rowsBetween(-r, r))))
-    return _inner(d, F.element_at(F.array_sort("t"), int(at * (n * n - 1)) + 1))
+    return d.where("y BETWEEN 0 AND _h AND x BETWEEN 0 AND _w").select(*KEY, "v", "t")
+
+
+def rank(px: DataFrame, r: int, at: int) -> DataFrame:
+    """The value of a rank (0: least; beyond the window: greatest) in a square window, edge pixels repeated."""
+    n = (2 * r + 1) ** 2
+    return window_values(px, r).select(*KEY, F.element_at(F.array_sort("t"), min(max(at, 0), n - 1) + 1).alias("v"))
+
+
+def median(px: DataFrame, r: int) -> DataFrame:
+    """The median of a square window, edge pixels repeated."""
+    return rank(px, r, (2 * r + 1) ** 2 // 2)
+
+
+def local_entropy(px: DataFrame, r: int, bins: int = 32) -> DataFrame:
+    """Entropy in bits of the grey values of a square window, in equal bins, edge pixels repeated."""
+    n = float((2 * r + 1) ** 2)
+    d = window_values(px, r).withColumn("t", F.transform("t", lambda v: F.floor(v * bins / 256)))
+    share = F.transform(F.array_distinct("t"), lambda b: F.size(F.filter("t", lambda q: q == b)) / n)
+    return d.select(*KEY, F.aggregate(share, F.lit(0.0), lambda s, q: s - q * F.log2(q)).alias("v"))
 
 
 def local_deviation(px: DataFrame, r: int) -> DataFrame:
@@ -129,13 +155,18 @@ def local_deviation(px: DataFrame, r: int) -> DataFrame:
 
 def gradient(px: DataFrame, smooth: list[float]) -> DataFrame:
     """|gx| + |gy|, clamped; smooth [1, 2, 1] is Sobel's, [1, 1, 1] Prewitt's."""
-    gx, gy = separable(px, [-1, 0, 1], smooth), separable(px, smooth, [-1, 0, 1])
-    return combine(gx, gy, lambda a, b: clamp(F.abs(a) + F.abs(b)))
+    a, b, c = smooth
+    before, after = F.lag("v").over(row_()), F.lead("v").over(row_())
+    d = padded(px, 1, 1).select("*", (after - before).alias("_d"), (a * before + b * F.col("v") + c * after).alias("_s"))
+    gx = a * F.lag("_d").over(col_()) + b * F.col("_d") + c * F.lead("_d").over(col_())
+    gy = F.lead("_s").over(col_()) - F.lag("_s").over(col_())
+    return _inner(d.withColumn("t", clamp(F.abs(gx) + F.abs(gy))), F.col("t"))
 
 
 def laplace(px: DataFrame) -> DataFrame:
     """Sum of second differences."""
-    return combine(separable(px, [1, -2, 1], [1]), separable(px, [1], [1, -2, 1]), lambda a, b: (a + b).cast("int"))
+    d = padded(px, 1, 1).withColumn("_x", F.lag("v").over(row_()) + F.lead("v").over(row_()) - 4 * F.col("v"))
+    return _inner(d.withColumn("t", F.col("_x") + F.lag("v").over(col_()) + F.lead("v").over(col_())), F.col("t").cast("int"))
 
 
 def integral(px: DataFrame) -> DataFrame:
@@ -187,22 +218,29 @@ def otsu(px: DataFrame) -> DataFrame:
 
 
 def equalize(px: DataFrame) -> DataFrame:
-    """Histogram equalisation by (cdf - least cdf) / (1 - least cdf), truncated."""
-    lo = F.min("c").over(W.partitionBy("image_id"))
-    lut = cdf(px).withColumn("lo", lo).select("image_id", "v", F.floor((F.col("c") - F.col("lo")) * 255 / F.greatest(F.col("total") - F.col("lo"), F.lit(1))).cast("int").alias("to"))
+    """Histogram equalisation by (cdf - least cdf) / (1 - least cdf), rounded; an image of one value becomes 0."""
+    span = F.col("total") - F.col("lo")
+    lut = cdf(px).withColumn("lo", F.min("c").over(W.partitionBy("image_id")))
+    lut = lut.select("image_id", "v", F.when(span > 0, F.floor(((F.col("c") - F.col("lo")) * 510 + span) / (2 * span))).otherwise(0).cast("int").alias("to"))
     return px.join(lut, ["image_id", "v"]).select(*KEY, F.col("to").alias("v"))
 
 
-def stretch(px: DataFrame) -> DataFrame:
-    """The range of values spread over 0..255."""
-    r = px.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return px.join(r, "image_id").select(*KEY, F.floor((F.col("v") - F.col("lo")) * 255 / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))).cast("int").alias("v"))
+def stretch(px: DataFrame, low: float = 1.0, high: float = 99.0) -> DataFrame:
+    """The grey values between two percentiles (centres of their bins) spread over 0..255, rounded; unchanged if they are one."""
+    centre = lambda q: F.min(F.when(F.col("c") >= F.floor(F.col("total") * q / 100), (F.col("v") + 0.5) * 255 / 256))
+    first = F.lit(0.5 * 255 / 256)  # a percentile of no pixels is the first bin
+    at = lambda q: F.when(F.floor(F.max("total") * q / 100) == 0, first).otherwise(centre(q))
+    r = cdf(px).groupBy("image_id").agg(at(low).alias("lo"), at(high).alias("hi"))
+    to = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (F.col("v") - F.col("lo")) * (255 / (F.col("hi") - F.col("lo")))))
+    return px.join(r, "image_id").select(*KEY, F.when(F.col("hi") > F.col("lo"), F.floor(to + 0.5).cast("int")).otherwise(F.col("v")).alias("v"))
 
 
 def intensity(px: DataFrame, roi: DataFrame | None = None) -> DataFrame:
-    """Least, greatest, mean and population deviation of each image, or of a region of it."""
-    d = px if roi is None else px.join(roi.select(*KEY), KEY, "left_semi")
-    return d.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"))
+    """Least, greatest, mean and population deviation of each image, or of a region of it; zeros for an image without pixels in the region."""
+    d = px.withColumn("_in", F.lit(True)) if roi is None else px.join(roi.select(*KEY).distinct().withColumn("_in", F.lit(True)), KEY, "left")
+    v = F.when(F.col("_in"), F.col("v"))
+    zero = lambda c, z: F.coalesce(c, F.lit(z))
+    return d.groupBy("image_id").agg(zero(F.min(v), 0).alias("lo"), zero(F.max(v), 0).alias("hi"), zero(F.avg(v), 0.0).alias("mean"), zero(F.stddev_pop(v), 0.0).alias("deviation"))
 
 
 def glcm(px: DataFrame, levels: int, dy: int, dx: int) -> DataFrame:
@@ -269,10 +307,13 @@ def variation_compare(px: DataFrame, model: DataFrame, absolute: float, factor:
 def ncc(px: DataFrame, template: DataFrame, size: int) -> DataFrame:
     """Normalised cross-correlation of a size x size template at every full position.
 
-    The template has a fixed, small number of rows; each pixel meets each once.
+    The template has a fixed number of rows, which is checked before it is
+    broadcast; each pixel meets each once.
     """
+    if size > 64 or template.limit(size * size + 1).count() != size * size:
+        raise ValueError("the template is not a square of the given size" if size <= 64 else "templates over 64 x 64 need a pyramid")
     t = template.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("t"))
-    d = px.join(F.broadcast(t.limit(size * size)))
+    d = px.crossJoin(F.broadcast(t))
     d = d.groupBy("image_id", (F.col("y") - F.col("ty")).alias("y"), (F.col("x") - F.col("tx")).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sv"), F.sum("t").alias("st"), F.sum(F.col("v") * F.col("v")).alias("svv"), F.sum(F.col("t") * F.col("t")).alias("stt"), F.sum(F.col("v") * F.col("t")).alias("svt")).where(F.col("n") == size * size)
     top, a, b = F.expr("n * svt - sv * st"), F.expr("n * svv - sv * sv"), F.expr("n * stt - st * st")
     return d.select(*KEY, F.when((a > 0) & (b > 0), top / F.sqrt(a.cast("double") * b)).otherwise(0.0).alias("score"))

@@ -106,13 +106,13 @@ def features(labelled: DataFrame) -> DataFrame:
     return g.withColumn("rectangularity", a / ((F.col("y1") - F.col("y0") + 1) * (F.col("x1") - F.col("x0") + 1)))
 
 
-def perimeter(labelled: DataFrame) -> DataFrame:
-    """Number of boundary pixels: those with a 4-neighbour outside their region."""
+def perimeter(labelled: DataFrame, eight: bool = True) -> DataFrame:
+    """Number of boundary pixels: those with one of 8 (or 4) neighbours outside their region."""
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not a or not b)]
     px = labelled.select("image_id", "region_id", "y", F.explode(F.sequence("cb", F.col("ce") - 1)).alias("x"))
-    near = px.select("image_id", "region_id", F.explode(F.array(*[F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])).alias("q")).select("image_id", "region_id", "q.y", "q.x")
-    inside = near.groupBy("image_id", "region_id", "y", "x").count().where("count = 4")
-    edge = px.join(inside, ["image_id", "region_id", "y", "x"], "left_anti")
-    return edge.groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("perimeter"))
+    moved = F.explode(F.array(F.struct("y", "x", F.lit(1).alias("own")), *[F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x"), F.lit(0).alias("own")) for a, b in near])).alias("q")
+    found = px.select("image_id", "region_id", moved).groupBy("image_id", "region_id", "q.y", "q.x").agg(F.max("q.own").alias("own"), F.count(F.lit(1)).alias("n"))
+    return found.where(f"own = 1 AND n < {len(near) + 1}").groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("perimeter"))
 
 
 def select_shape(f: DataFrame, feature: str, lo: float, hi: float) -> DataFrame:

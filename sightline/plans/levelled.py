@@ -28,7 +28,7 @@ for _n, _e in {"and": "s AND t", "or": "s OR t", "xor": "s <> t", "diff": "s AND
 on_pixels("image_counts", lambda p: rounded(m.counts(p, q.LO, q.HI), "foreground"), f"SELECT image_id, count(*) FILTER (WHERE v <> 0) AS nonzero, count(*) FILTER (WHERE v BETWEEN {q.LO} AND {q.HI}) AS in_range, round(count(*) FILTER (WHERE v > 0) / count(*)::DOUBLE, 6) AS foreground, bool_and(v IN (0, 255)) AS is_binary FROM p GROUP BY image_id")
 
 _local = near(1, 1) + f", lm AS (SELECT image_id, y, x, v, sum(nv) / 9.0::DOUBLE AS m, sqrt((sum(nv * nv) * 9.0::DOUBLE - sum(nv) * sum(nv)) / 81.0::DOUBLE) AS s FROM nb GROUP BY image_id, y, x, v), wl AS (SELECT lm.*, lo, sd FROM lm JOIN (SELECT image_id, min(v) AS lo, max(s) AS sd FROM lm GROUP BY image_id) USING (image_id))"
-for _n, _k, _e in (("mean", 8.0, "m - 8.0::DOUBLE"), ("niblack", 0.4, "m + 0.4::DOUBLE * s"), ("sauvola", 0.2, "m * (1 + 0.2::DOUBLE * (s / 128.0::DOUBLE - 1))"), ("wolf", 0.3, "m - 0.3::DOUBLE * (1 - s / sd) * (m - lo)")):
+for _n, _k, _e in (("mean", 8.0, "m - 8.0::DOUBLE"), ("niblack", 0.4, "m + 0.4::DOUBLE * s"), ("sauvola", 0.2, "m * (1 + 0.2::DOUBLE * (s / 128.0::DOUBLE - 1))"), ("wolf", 0.3, "m - 0.3::DOUBLE * (1 - s / 128.0::DOUBLE) * m")):
     on_pixels(f"adaptive_{_n}", lambda p, n=_n, k=_k: m.adaptive(p, 1, n, k), f"SELECT image_id, y, x FROM wl WHERE v > {_e}", _local)
 
 _w = [[1.0, -2.0, 0.0], [3.0, 5.0, -1.0], [0.0, 2.0, -4.0]]
@@ -42,7 +42,16 @@ _taps = f"[{', '.join(f'{c!r}::DOUBLE' for c in _kernel)}]"
 on_pixels("unsharp_mask", lambda p: m.unsharp(p, _kernel, 0.7, 2.0), f"{PX} CASE WHEN abs(v - g) > 2 THEN CAST(floor(greatest(0, least(255, v + 0.7::DOUBLE * (v - g)))) AS INTEGER) ELSE v END AS v FROM (SELECT image_id, y, x, v, sum(nv * {_taps}[dy + 4] * {_taps}[dx + 4]) AS g FROM nb GROUP BY image_id, y, x, v)", near(3, 3))
 on_pixels("bilateral_filter", lambda p: rounded(m.bilateral(p, 1, 1.5, 30.0), "v"), f"{PX} round(sum(nv * f) / sum(f), 6) AS v FROM (SELECT *, exp(-(dy * dy + dx * dx) / 4.5::DOUBLE) * exp((nv - v) * (nv - v) / -1800.0::DOUBLE) AS f FROM nb) {NB}", near(1, 1))
 on_pixels("local_maxima", m.local_maxima, f"{PX} v FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.image_id = p.image_id AND abs(o.y - p.y) <= 1 AND abs(o.x - p.x) <= 1 AND (o.y <> p.y OR o.x <> p.x) AND o.v >= p.v)")
-on_pixels("histogram_match", lambda p: m.match_histogram(p, p.where("image_id = 0")), f"{PX} u AS v FROM p JOIN (SELECT c.image_id, c.v, min(f.v) AS u FROM c JOIN c f ON f.image_id = 0 AND f.c * c.total >= c.c * f.total GROUP BY c.image_id, c.v) USING (image_id, v)", q._h)
+on_pixels(
+    "histogram_match",
+    lambda p: m.match_histogram(p, p.where("image_id = 0")),
+    f"""{PX} u AS v FROM p JOIN (
+      SELECT image_id, v, arg_min(u, gap * 256 + u) AS u FROM (
+        SELECT c.image_id, c.v, f.u, abs(f.c * c.total - c.c * f.total) AS gap
+        FROM c, (SELECT g.u, max(total) AS total, sum(CASE WHEN v <= g.u THEN n ELSE 0 END) AS c FROM c, (SELECT unnest(range(256)) AS u) g WHERE image_id = 0 GROUP BY g.u) f)
+      GROUP BY image_id, v) USING (image_id, v)""",
+    q._h,
+)
 for _n, _e in {"l1": "abs(a.y - b.y) + abs(a.x - b.x)", "linf": "greatest(abs(a.y - b.y), abs(a.x - b.x))", "l2": "sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))"}.items():
     on_pixels(f"distance_{_n}", lambda p, n=_n: rounded(m.distances(p, 80, n), "distance"), f"SELECT a.image_id, a.y, a.x, round(CAST(min({_e}) AS DOUBLE), 6) AS distance FROM p a LEFT JOIN p b ON a.image_id = b.image_id AND b.v < 80 WHERE a.v >= 80 GROUP BY a.image_id, a.y, a.x")
 

@@ -37,9 +37,9 @@ def on(view, name, f, sql, ctes=""):
     add(name, sql, ctes)(lambda s, d: f(view(s, d)))
 
 
-def near(ry: int, rx: int, src: str = "p") -> str:
-    """CTE ``nb``: every pixel with its mirrored neighbours."""
-    mir = lambda c, n: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} >= {n} THEN 2 * ({n} - 1) - ({c}) ELSE {c} END"
+def near(ry: int, rx: int, src: str = "p", border: str = "mirror") -> str:
+    """CTE ``nb``: every pixel with its neighbours, mirrored at the border or the edge pixels repeated."""
+    mir = lambda c, n: f"greatest(0, least({n} - 1, {c}))" if border == "clamp" else f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} >= {n} THEN 2 * ({n} - 1) - ({c}) ELSE {c} END"
     return f"""nb AS (SELECT a.image_id, a.y, a.x, a.v, b.v AS nv, dy, dx FROM {src} a JOIN dims USING (image_id)
       CROSS JOIN (SELECT unnest(range(-{ry}, {ry + 1})) AS dy) CROSS JOIN (SELECT unnest(range(-{rx}, {rx + 1})) AS dx)
       JOIN {src} b ON b.image_id = a.image_id AND b.y = {mir('a.y + dy', 'h')} AND b.x = {mir('a.x + dx', 'w')})"""
@@ -77,8 +77,8 @@ on_pixels("gray_opening", lambda p: r.dilate(r.erode(p, 1), 1), f"{PX} max(nv) A
 on_pixels("gray_closing", lambda p: r.erode(r.dilate(p, 1), 1), f"{PX} min(nv) AS v FROM nc {_nb}", _two("max", "min"))
 on_pixels("gray_tophat", lambda p: r.combine(p, r.dilate(r.erode(p, 1), 1), lambda a, b: a - b), f"{PX} p.v - o.v AS v FROM p JOIN (SELECT image_id, y, x, max(nv) AS v FROM nc {_nb}) o USING (image_id, y, x)", _two("min", "max"))
 on_pixels("gray_gradient", lambda p: r.combine(r.dilate(p, 1), r.erode(p, 1), lambda a, b: a - b), f"{PX} max(nv) - min(nv) AS v FROM nb {_nb}", near(1, 1))
-on_pixels("median_image", lambda p: r.rank(p, 1, 0.5), f"{PX} list_sort(list(nv))[5] AS v FROM nb {_nb}", near(1, 1))
-on_pixels("rank_image", lambda p: r.rank(p, 1, 0.25), f"{PX} list_sort(list(nv))[3] AS v FROM nb {_nb}", near(1, 1))
+on_pixels("median_image", lambda p: r.median(p, 1), f"{PX} list_sort(list(nv))[5] AS v FROM nb {_nb}", near(1, 1, border="clamp"))
+on_pixels("rank_image", lambda p: r.rank(p, 1, 2), f"{PX} list_sort(list(nv))[3] AS v FROM nb {_nb}", near(1, 1, border="clamp"))
 on_pixels("binomial", lambda p: r.point(r.separable(p, [1, 2, 1], [1, 2, 1]), lambda v: F.floor(v / 16).cast("int")), f"{PX} CAST(floor(sum(nv * (2 - abs(dy)) * (2 - abs(dx))) / 16.0::DOUBLE) AS INTEGER) AS v FROM nb {_nb}", near(1, 1))
 on_pixels("sobel_amp", lambda p: r.gradient(p, [1, 2, 1]), f"{PX} CAST(least(255, abs(sum(nv * dx * (2 - abs(dy)))) + abs(sum(nv * dy * (2 - abs(dx))))) AS INTEGER) AS v FROM nb {_nb}", near(1, 1))
 on_pixels("prewitt_amp", lambda p: r.gradient(p, [1, 1, 1]), f"{PX} CAST(least(255, abs(sum(nv * dx)) + abs(sum(nv * dy))) AS INTEGER) AS v FROM nb {_nb}", near(1, 1))
@@ -94,24 +94,52 @@ on_pixels("hist_gray", r.histogram, "SELECT image_id, v, n FROM hist", _h)
 on_pixels("hist_percentile", lambda p: r.percentile(p, 0.9), "SELECT image_id, min(v) AS v FROM c WHERE c >= total * 0.9 GROUP BY ALL", _h)
 on_pixels("hist_entropy", lambda p: r.entropy(p).withColumn("entropy", F.round("entropy", 6)), "SELECT image_id, round(-sum((n / total::DOUBLE) * log2(n / total::DOUBLE)), 6) AS entropy FROM c GROUP BY ALL", _h)
 on_pixels("otsu", r.otsu, "SELECT image_id, v, (v + 0.5::DOUBLE) * 255 / 256 AS threshold FROM (SELECT image_id, arg_max(v, struct_pack(b := b, u := -v)) AS v FROM (SELECT image_id, v, c::DOUBLE * (total - c)::DOUBLE * (m / c::DOUBLE - (mt - m) / (total - c)::DOUBLE) * (m / c::DOUBLE - (mt - m) / (total - c)::DOUBLE) AS b FROM c WHERE c < total) GROUP BY image_id)", _h)
-on_pixels("equalize", r.equalize, f"{PX} CAST(floor((c - lo) * 255::DOUBLE / greatest(total - lo, 1)) AS INTEGER) AS v FROM p JOIN (SELECT *, min(c) OVER (PARTITION BY image_id) AS lo FROM c) l USING (image_id, v)", _h)
-on_pixels("contrast_stretch", r.stretch, f"{PX} CAST(floor((v - lo) * 255::DOUBLE / greatest(hi - lo, 1)) AS INTEGER) AS v FROM p JOIN (SELECT image_id, min(v) AS lo, max(v) AS hi FROM p GROUP BY ALL) USING (image_id)")
-on_pixels("intensity", lambda p: r.intensity(p, r.in_range(p, LO, HI)).withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)}), f"SELECT image_id, min(v) AS lo, max(v) AS hi, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation FROM p WHERE v BETWEEN {LO} AND {HI} GROUP BY ALL")
+on_pixels(
+    "equalize",
+    r.equalize,
+    f"""{PX} CAST(CASE WHEN total > lo THEN ((c - lo) * 510 + total - lo) // (2 * (total - lo)) ELSE 0 END AS INTEGER) AS v
+      FROM p JOIN (SELECT *, min(c) OVER (PARTITION BY image_id) AS lo FROM c) l USING (image_id, v)""",
+    _h,
+)
+
+
+def _stretched(low: float, high: float) -> str:
+    at = lambda q: f"CASE WHEN floor(max(total) * {q} / 100) = 0 THEN 0.5::DOUBLE * 255 / 256 ELSE min(CASE WHEN c >= floor(total * {q} / 100) THEN (v + 0.5::DOUBLE) * 255 / 256 END) END"
+    return f"""{PX} CASE WHEN hi > lo THEN CAST(floor(greatest(0, least(255, (v - lo) * (255 / (hi - lo)))) + 0.5::DOUBLE) AS INTEGER) ELSE v END AS v
+      FROM p JOIN (SELECT image_id, {at(f"{low}::DOUBLE")} AS lo, {at(f"{high}::DOUBLE")} AS hi FROM c GROUP BY image_id) USING (image_id)"""
+
+
+on_pixels("contrast_stretch", r.stretch, _stretched(1, 99), _h)
+on_pixels("auto_contrast", lambda p: r.stretch(p, 0, 100), _stretched(0, 100), _h)
+
+
+def _roi(lo: int, hi: int) -> str:
+    inside = f"CASE WHEN v BETWEEN {lo} AND {hi} THEN v END"
+    return f"""SELECT image_id, coalesce(min({inside}), 0) AS lo, coalesce(max({inside}), 0) AS hi, round(coalesce(avg({inside}), 0), 6) AS mean,
+      round(coalesce(stddev_pop({inside}), 0), 6) AS deviation FROM p GROUP BY ALL"""
+
+
+for _name, _lo, _hi in (("intensity", LO, HI), ("intensity_sparse", 254, 255)):
+    on_pixels(_name, lambda p, lo=_lo, hi=_hi: r.intensity(p, r.in_range(p, lo, hi)).withColumns({c: F.round(c, 6) for c in ("mean", "deviation")}), _roi(_lo, _hi))
+on_pixels(
+    "entropy_image",
+    lambda p: r.point(r.local_entropy(p, 1, 16), lambda v: F.round(v, 6)),
+    f"""{PX} round(-sum(n / 9::DOUBLE * log2(n / 9::DOUBLE)), 6) AS v
+      FROM (SELECT image_id, y, x, nv * 16 // 256 AS b, count(*) AS n FROM nb GROUP BY ALL) GROUP BY image_id, y, x""",
+    near(1, 1, border="clamp"),
+)
 
 _g = "q AS (SELECT *, least(v * 8 // 256, 7) AS i FROM p), o AS (SELECT a.image_id, a.i, b.i AS j FROM q a JOIN q b ON a.image_id = b.image_id AND a.y = b.y AND a.x + 1 = b.x), s AS (SELECT image_id, i, j, count(*) AS n FROM (SELECT * FROM o UNION ALL SELECT image_id, j, i FROM o) GROUP BY ALL)"
 on_pixels("glcm", lambda p: r.glcm(p, 8, 0, 1), "SELECT * FROM s", _g)
 on_pixels("glcm_features", lambda p: (f := r.glcm_features(r.glcm(p, 8, 0, 1))).select("image_id", *(F.round(c, 6).alias(c) for c in f.columns[1:])), "SELECT image_id, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in {"contrast": "sum(p * (i - j) * (i - j))", "dissimilarity": "sum(p * abs(i - j))", "homogeneity": "sum(p / (1 + (i - j) * (i - j)))", "energy": "sum(p * p)", "entropy": "-sum(p * log2(p + 1e-10))", "most": "max(p)"}.items()) + " FROM (SELECT *, n / (sum(n) OVER (PARTITION BY image_id))::DOUBLE AS p FROM s) GROUP BY image_id", _g)
 
-_train = "vm AS (SELECT y, x, avg(v) AS mean, var_pop(v) AS var FROM p WHERE image_id < 7 GROUP BY ALL)"
-on_pixels("variation_train", lambda p: r.variation_model(p.where("image_id < 7")).select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var")), "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm", _train)
-on_pixels("variation_incremental", lambda p: variation.prepare(variation.merge(variation.train(p.where("image_id < 4")), variation.train(p.where("image_id BETWEEN 4 AND 6")))).select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var")), "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm", _train)
-on_pixels("variation_compare", lambda p: r.variation_compare(p.where("image_id = 7"), r.variation_model(p.where("image_id < 7")), 20, 1.7), "SELECT image_id, y, x FROM p JOIN vm USING (y, x) WHERE image_id = 7 AND abs(v - mean) > greatest(20, sqrt(var) * 1.7)", _train)
-# the same over whole tables; the three above and their SQL keep to a few images
-_all = _train.replace(" WHERE image_id < 7", "")
+_train = "vm AS (SELECT y, x, avg(v) AS mean, var_pop(v) AS var FROM p GROUP BY ALL)"
+_model = "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm"
+_rounded = lambda m: m.select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
 _even = lambda: F.col("image_id") % 2 == 0
-on_pixels("variation_train_all", lambda p: r.variation_model(p).select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var")), "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm", _all)
-on_pixels("variation_incremental_all", lambda p: variation.prepare(variation.merge(variation.train(p.where(_even())), variation.train(p.where(~_even())))).select("y", "x", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var")), "SELECT y, x, round(mean, 6) AS mean, round(var, 4) AS var FROM vm", _all)
-on_pixels("variation_compare_all", lambda p: r.variation_compare(p, r.variation_model(p), 20, 1.7), "SELECT image_id, y, x FROM p JOIN vm USING (y, x) WHERE abs(v - mean) > greatest(20, sqrt(var) * 1.7)", _all)
+on_pixels("variation_train", lambda p: _rounded(r.variation_model(p)), _model, _train)
+on_pixels("variation_incremental", lambda p: _rounded(variation.prepare(variation.merge(variation.train(p.where(_even())), variation.train(p.where(~_even()))))), _model, _train)
+on_pixels("variation_compare", lambda p: r.variation_compare(p, r.variation_model(p), 20, 1.7), "SELECT image_id, y, x FROM p JOIN vm USING (y, x) WHERE abs(v - mean) > greatest(20, sqrt(var) * 1.7)", _train)
 _m = (math.cos(0.3), -math.sin(0.3), 12.0, math.sin(0.3), math.cos(0.3), -7.0)
 on_pixels("affine_warp", lambda p: r.point(r.affine(p, _m), lambda v: F.round(v, 6)), f"""{PX} round(sum(f * v), 6) AS v FROM (SELECT g.image_id, g.y, g.x, s.v, (CASE WHEN a = 1 THEN w - w0 ELSE 1 - w + w0 END) * (CASE WHEN b = 1 THEN u - u0 ELSE 1 - u + u0 END) AS f
   FROM (SELECT *, floor(u) AS u0, floor(w) AS w0 FROM (SELECT image_id, y, x, x * {_m[0]!r}::DOUBLE + y * {_m[1]!r}::DOUBLE + 12.0::DOUBLE AS u, x * {_m[3]!r}::DOUBLE + y * {_m[4]!r}::DOUBLE - 7.0::DOUBLE AS w FROM p)) g
@@ -120,10 +148,9 @@ _ncc = "t AS (SELECT y AS ty, x AS tx, v AS t FROM p WHERE image_id = 0 AND y <
 _match = lambda p: r.ncc(p, r.crop(p.where("image_id = 0"), 0, 0, 8, 8), 8).withColumn("score", F.round("score", 9))
 on_pixels("ncc", _match, "SELECT * FROM ncc", _ncc)
 on_pixels("ncc_matches", lambda p: g.suppress(_match(p).where("score >= 0.3"), "score", 4), "SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.image_id = m.image_id AND abs(o.y - m.y) <= 4 AND abs(o.x - m.x) <= 4 AND (o.score > m.score OR (o.score = m.score AND (o.y < m.y OR (o.y = m.y AND o.x < m.x)))))", _ncc + ", m AS (SELECT * FROM ncc WHERE score >= 0.3)")
-_cs = ", ".join(f"({i}, {round(math.cos(i * math.pi / 18), 12)!r}::DOUBLE, {round(math.sin(i * math.pi / 18), 12)!r}::DOUBLE)" for i in range(18))
-on_pixels("hough_lines", lambda p: g.hough(r.in_range(p, 185, 255), 18), f"SELECT image_id, t, CAST(floor(x * c + y * s + 0.5::DOUBLE) AS BIGINT) AS rho, count(*) AS votes FROM p, (VALUES {_cs}) a(t, c, s) WHERE v >= 185 GROUP BY ALL")
-_cs1 = ", ".join(f"({i}, {round(math.cos(i * math.pi / 180), 12)!r}::DOUBLE, {round(math.sin(i * math.pi / 180), 12)!r}::DOUBLE)" for i in range(180))
-on_pixels("hough_lines_degree", lambda p: g.hough(r.in_range(p, 185, 255), 180), f"SELECT image_id, t, CAST(floor(x * c + y * s + 0.5::DOUBLE) AS BIGINT) AS rho, count(*) AS votes FROM p, (VALUES {_cs1}) a(t, c, s) WHERE v >= 185 GROUP BY ALL")
+_cs = ", ".join(f"({i}, {round(math.cos(i * math.pi / 180), 12)!r}::DOUBLE, {round(math.sin(i * math.pi / 180), 12)!r}::DOUBLE)" for i in range(180))
+_votes = f"votes AS (SELECT image_id, t, CAST(floor(x * c + y * s + 0.5::DOUBLE) AS BIGINT) AS rho, count(*) AS votes FROM p, (VALUES {_cs}) a(t, c, s) WHERE v >= 185 GROUP BY ALL)"
+on_pixels("hough_lines", lambda p: g.hough(r.in_range(p, 185, 255), 180), "SELECT * FROM votes", _votes)
 
 _isl = lambda w, n: f"{n} AS (SELECT image_id, y, min(x) AS cb, max(x) + 1 AS ce FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS g FROM {w}) GROUP BY image_id, y, g)"
 _A, _B = "(SELECT image_id, y, x FROM p WHERE v >= 160)", "(SELECT image_id, y, x FROM p WHERE v <= 190 AND x % 5 > 0)"
@@ -155,7 +182,7 @@ on_pixels("connection", _lab, "SELECT * FROM lab", _cc, True)
 on_pixels("region_features", _feat, "SELECT * FROM ft", _cc, True)
 on_pixels("select_shape", lambda p: rg.select_shape(_feat(p), "area", 4, 60), "SELECT * FROM ft WHERE area BETWEEN 4 AND 60", _cc, True)
 on_pixels("largest_regions", lambda p: rg.largest(_feat(p), 3), "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, region_id) AS rank FROM ft) WHERE rank <= 3", _cc, True)
-on_pixels("region_perimeter", lambda p: rg.perimeter(_lab(p)), "SELECT a.image_id, a.region_id, count(*) AS perimeter FROM px a WHERE (SELECT count(*) FROM px b WHERE b.image_id = a.image_id AND b.region_id = a.region_id AND abs(b.y - a.y) + abs(b.x - a.x) = 1) < 4 GROUP BY ALL", _cc, True)
+on_pixels("region_perimeter", lambda p: rg.perimeter(_lab(p)), "SELECT a.image_id, a.region_id, count(*) AS perimeter FROM px a WHERE (SELECT count(*) FROM px b WHERE b.image_id = a.image_id AND b.region_id = a.region_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1) < 9 GROUP BY ALL", _cc, True)
 
 _d = "o AS (SELECT *, coalesce(lag(v) OVER w, v) AS b, coalesce(lead(v) OVER w, v) AS a FROM prof WINDOW w AS (PARTITION BY user_id ORDER BY i)), dv AS (SELECT user_id, i, (a - b) / 2 AS g FROM o), nb3 AS (SELECT *, abs(g) AS a, coalesce(lag(abs(g)) OVER w, 0) AS l, coalesce(lead(abs(g)) OVER w, 0) AS r FROM dv WINDOW w AS (PARTITION BY user_id ORDER BY i)), ed AS (SELECT user_id, i, i + CASE WHEN l - 2 * a + r = 0 THEN 0 ELSE greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * a + r))) END AS position, a AS amplitude, CASE WHEN g > 0 THEN 'rising' ELSE 'falling' END AS polarity FROM nb3 WHERE a >= 5 AND a >= l AND a > r)"
 _e = lambda p: g.edges(p, 5.0)

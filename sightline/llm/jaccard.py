@@ -1,23 +1,31 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash, completed to exact Jaccard similarity of five-word shingles.
 
 Two texts are near copies if their shingle sets have a similarity of at least
-4/5; groups are the components of those pairs. No pair is missed: sets of n and
-m shingles that similar share one of the first n - ceil(4n/5) + 1 and
-m - ceil(4m/5) + 1 in any order common to all (prefix filter). The order puts
-shingles that a sample finds in many texts last and is otherwise that of their
-hashes; the sample sways only the work, not the result.
+4/5; groups are the components of those pairs. SimHash fingerprints of the
+shingles, linked by the covering tables of :mod:`simhash`, give the first links,
+each checked on the whole sets. Texts of that similarity differ in ten bits of
+64 on average, which no covering family of a usable size reaches (2^11 tables),
+so the links are completed: sets of n and m shingles that similar share one of
+the first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1 in any order common to all
+(prefix filter), so no pair is missed. The order puts shingles that a sample
+finds in many texts last and is otherwise that of their hashes; the sample sways
+only the work, not the result.
 
 How it runs. Equal word sequences are first joined by a grouped minimum. The
-others' prefixes are dealt by shingle. A group of up to ``SMALL`` gives all its
-pairs that sizes and places allow; a larger one gives those with its first
-member and between neighbours in size, and after these are checked all pairs
-that are not yet in one component. Candidates that
-a sketch (a bound, never too low) does not rule out are checked on the whole sets.
+others' prefixes are dealt by shingle; only texts that are not yet in one
+component are compared. A group of up to ``SMALL`` gives all its pairs that sizes
+and places allow; a larger one gives, in ``ROUNDS`` rounds, those of one member of
+its largest component with all others, and when these are checked all pairs that
+are still in different components. Candidates
+that a sketch (a bound, never too low) does not rule out are checked on the
+whole sets.
 
 Cases. Words are runs without ASCII white space, ASCII letters lowered. Fewer
 words than a shingle: the whole sequence is one shingle; none: all such texts
 are copies. Null ids take no part. Repeated ids: rows of different texts are
-rows of their own.
+rows of their own. Very long texts are read whole. Empty tables give no groups.
+Columns beyond those named are passed through by :func:`once`; none of them may
+be called ``__id`` or ``__key``.
 """
 
 from __future__ import annotations
@@ -30,13 +38,16 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import saved, ship
+from . import simhash
 from .hashing import sequence_hashes, word_hashes
 
 _U = np.uint64
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, NUM, DEN = 5, 4, 5
-#: Groups up to this size give all pairs at once.
+#: Groups up to this size give all pairs at once; in larger ones the whole sets are compared within the group.
 SMALL = 16
+#: Parts of the hash range that are counted to rule out pairs of a larger group.
+BINS = 256
 #: One text of so many is read for the order, and the shingles that are put last: at least so often found, at most so many.
 EVERY, OFTEN, LAST = 16, 8, 50_000
 
@@ -50,6 +61,14 @@ def shingles(w: np.ndarray) -> np.ndarray:
     return np.unique(sequence_hashes(w, min(WORDS, len(w)))) if len(w) else np.zeros(1, _U)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(s), simhash.CHUNK):
+        ones += np.unpackbits(s[i:i + simhash.CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(s)).view(">i8")[0])
+
+
 def prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The first shingles, of which near copies share one; ``last`` (sorted) come after all others."""
     n = len(s) - -(-NUM * len(s) // DEN) + 1
@@ -122,41 +141,97 @@ def _batch(rows: list[np.ndarray], names: list[str]):
 _OUT = ["h", "a", "b", "place"]
 
 
-def _first(batches):
-    """Pairs (place -1), and the rows of groups over ``SMALL``."""
-    out, n = [], 0
-    for g in _groups(batches):
-        k = len(g)
-        if k <= SMALL:
-            p = _pairs(g, *np.triu_indices(k, 1))
-        else:
-            o = np.lexsort((g[:, 1], g[:, 2]))
-            root = np.full(k, g[:, 1].argmin())
-            p = np.unique(np.concatenate([_pairs(g, root, np.arange(k)), _pairs(g, o[1:], o[:-1])]), axis=0)
-            p = p[p[:, 0] < p[:, 1]]
-            out.append(g)
-        if len(p):
-            out.append(np.column_stack([np.zeros(len(p), np.int64), p, np.full(len(p), -1)]))
-        n += k + len(p)
-        if n > 50_000:
-            if out:
-                yield _batch(out, _OUT)
-            out, n = [], 0
-    if out:
-        yield _batch(out, _OUT)
-
-
-def _second(batches):
-    """Pairs of different components (last column) within a group."""
-    for g in _groups(batches):
-        g = g[g[:, 4].argsort(kind="stable")]
-        ends = np.searchsorted(g[:, 4], g[:, 4], "right")
-        for i in range(len(g)):
-            if ends[i] < len(g):
-                j = np.arange(ends[i], len(g))
-                p = _pairs(g, np.full(len(j), i), j)
-                if len(p):
-                    yield _batch([p], ["a", "b"])
+def _few():
+    """Rows h, node, n, place, root: pairs (place -1) of different components, and the rows of groups over ``SMALL`` that have any left."""
+
+    def run(batches):
+        out, n = [], 0
+        for g in _groups(batches):
+            k = len(g)
+            if (g[:, 4] == g[0, 4]).all():
+                continue
+            if k <= SMALL:
+                i, j = np.triu_indices(k, 1)
+                i, j = i[g[i, 4] != g[j, 4]], j[g[i, 4] != g[j, 4]]
+            else:
+                # a member of the group's largest component with all of other components
+                roots, size = np.unique(g[:, 4], return_counts=True)
+                of = g[:, 4] == roots[size.argmax()]
+                j = np.flatnonzero(~of)
+                i = np.full(len(j), np.flatnonzero(of)[0])
+                out.append(g[:, :4])
+            p = _pairs(g, i, j)
+            if len(p):
+                out.append(np.column_stack([np.zeros(len(p), np.int64), p, np.full(len(p), -1)]))
+            n += k + len(p)
+            if n > 50_000:
+                if out:
+                    yield _batch(out, _OUT)
+                out, n = [], 0
+        if out:
+            yield _batch(out, _OUT)
+
+    return run
+
+
+def _with_sets(batches):
+    """Groups of rows sorted by the first column: their numbers, and their last column as sets."""
+    held: list[tuple[np.ndarray, list]] = []
+
+    def group():
+        return np.concatenate([a for a, _ in held]), [np.frombuffer(x.as_buffer(), _U) for _, xs in held for x in xs]
+
+    for b in batches:
+        a = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:-1]])
+        if not len(a):
+            continue
+        edge = np.concatenate([[0], np.flatnonzero(a[1:, 0] != a[:-1, 0]) + 1, [len(a)]])
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            if held and held[0][0][0, 0] != a[s, 0]:
+                yield group()
+                held = []
+            held.append((a[s:e], [b.column(b.num_columns - 1)[int(i)] for i in range(s, e)]))
+    if held:
+        yield group()
+
+
+def _near_ones(g: np.ndarray, sets: list, bins: np.ndarray, i: int, others: np.ndarray, cluster: np.ndarray):
+    """Members among the others that are near copies of member i, those of like size first; members of its own cluster by then are passed over."""
+    n, m = g[i, 2], g[others, 2]
+    # at the first shingle in common no more than these can be
+    j = others[near(n, m, np.minimum(n - g[i, 3], m - g[others, 3]))]
+    j = j[np.argsort(np.abs(g[j, 2] - n), kind="stable")]
+    at, step = 0, 16
+    while at < len(j):
+        part = j[at:at + step]
+        part = part[cluster[part] != cluster[i]]
+        for k in part[near(n, g[part, 2], np.minimum(bins[i], bins[part]).sum(axis=1))]:
+            if cluster[k] != cluster[i] and near(n, g[k, 2], len(np.intersect1d(sets[i], sets[k], assume_unique=True))):
+                yield int(k)
+        at, step = at + step, 8 * step
+
+
+def _linked(batches):
+    """Links that join the components of each group's members as all its near copies do."""
+    for g, sets in _with_sets(batches):
+        roots, at, size = np.unique(g[:, 4], return_inverse=True, return_counts=True)
+        if len(roots) < 2:
+            continue
+        bins = np.stack([np.bincount((s >> _U(56)).astype(np.int64), minlength=BINS) for s in sets]).astype(np.int32)
+        links, seen, cluster = [], np.empty(0, np.int64), at.copy()
+        for c in np.argsort(-size, kind="stable"):
+            own = np.flatnonzero(at == c)
+            for i in own.tolist() if len(seen) else ():
+                others = seen[cluster[seen] != cluster[i]]
+                for k in _near_ones(g, sets, bins, i, others, cluster):
+                    if cluster[k] != cluster[i]:
+                        links.append((g[i, 1], g[k, 1]))
+                        cluster[cluster == cluster[k]] = cluster[i]
+                        if not (cluster[seen] != cluster[i]).any():
+                            break
+            seen = np.append(seen, own)
+        if links:
+            yield _batch([np.array(links, np.int64)], ["a", "b"])
 
 
 def _possible(batches):
@@ -193,7 +268,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def prefixes(batches):
         for b in batches:
-            keys, sizes, firsts, sketches = [], [], [], []
+            keys, sizes, firsts, sketches, prints = [], [], [], [], []
             for x in b.column(1):
                 w = words(x)
                 s = shingles(w)
@@ -201,36 +276,54 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 sizes.append(len(s))
                 firsts.append(prefix(s, last).view(np.int64))
                 sketches.append(sketch(s).tobytes())
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "key", "n", "first", "sketch"])
+                prints.append(fingerprint(s))
+            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(prints, pa.int64())], names=["id", "key", "n", "first", "sketch", "fp"])
 
-    rows, _ = saved(d.mapInArrow(prefixes, "id long, key binary, n long, first array<long>, sketch binary"), "shingled")
+    rows, _ = saved(d.mapInArrow(prefixes, "id long, key binary, n long, first array<long>, sketch binary, fp long"), "shingled")
     # the others depend on the key alone
-    nodes = rows.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "first", "sketch")))
+    nodes = rows.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "first", "sketch", "fp")))
     nodes, _ = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    places = nodes.select("node", "n", F.posexplode("first").alias("place", "h")).select("h", "node", "n", F.col("place").cast("long").alias("place"))
-    found, _ = saved(places.repartition("h").sortWithinPartitions("h").mapInArrow(_first, "h long, a long, b long, place long"), "shared")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Of the candidates those that are near copies, from the whole sets of the texts in them."""
-        end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        pairs = pairs.distinct().join(end("a"), "a").join(end("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        pairs, _ = saved(pairs.mapInArrow(_possible, "a long, b long"), "candidates")
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key", F.col("least").alias("id")), "node")
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """``node, s``: the whole sets of some nodes."""
+        asked = asked.distinct().join(nodes.select("node", "key", F.col("least").alias("id")), "node")
 
         def sets(batches):
             for b in batches:
                 out = [(n, shingles(w).tobytes()) for n, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) if xxhash.xxh3_128_digest((w := words(x)).tobytes()) == k]
                 yield pa.record_batch([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["node", "s"])
 
-        s, _ = saved(asked.join(d, "id").select("node", "key", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "sets")
+        return saved(asked.join(d, "id").select("node", "key", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "sets")[0]
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Of the candidates those that are near copies, from the whole sets of the texts in them."""
+        end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(end("a"), "a").join(end("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        pairs, _ = saved(pairs.mapInArrow(_possible, "a long, b long"), "candidates")
+        s = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         both = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         return saved(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "similar")[0]
 
-    links = checked(found.where("place < 0").select("a", "b"))
-    roots, _ = saved(components(links), "roots")
-    more = found.where("place >= 0").select("h", F.col("a").alias("node"), F.col("b").alias("n"), "place").join(roots, "node", "left")
-    more = more.select("h", "node", "n", "place", F.coalesce("root", "node").alias("root")).repartition("h").sortWithinPartitions("h")
-    links = links.union(checked(more.mapInArrow(_second, "a long, b long")))
+    # SimHash: texts of one fingerprint, and fingerprints within the radius
+    of_print = nodes.groupBy("fp").agg(F.min("node").alias("root"))
+    same = nodes.select("fp", "node").join(of_print, "fp").where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    links = checked(same.union(simhash.links(of_print.select("fp", F.col("root").alias("node")))))
+    # the rest, by prefixes
+    places = nodes.select("node", "n", F.posexplode("first").alias("place", "h")).select("h", "node", "n", F.col("place").cast("long").alias("place"))
+
+    def apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows with their components so far."""
+        roots, _ = saved(components(links), "roots")
+        return rows.join(roots, "node", "left").select("h", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+
+    by_shingle = lambda rows: rows.repartition("h").sortWithinPartitions("h")
+    found, _ = saved(by_shingle(apart(places, links)).mapInArrow(_few(), "h long, a long, b long, place long"), "shared")
+    links = links.union(checked(found.where("place < 0").select("a", "b")))
+    large, _ = saved(apart(found.where("place >= 0").select("h", F.col("a").alias("node"), F.col("b").alias("n"), "place"), links), "large")
+    several = large.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    large = large.join(several, "h")
+    large = large.join(sets_of(large.select("node")), "node").select("h", "node", "n", "place", "root", "s")
+    more, _ = saved(by_shingle(large).mapInArrow(_linked, "a long, b long"), "linked")
+    links = links.union(more)
     label = nodes.select("node", "key", "least").join(components(links), "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
     return label.groupBy("root").agg(F.min(F.struct("least", "key")).alias("x")).select(F.col("x.least").alias("id"), "x.key")
 

@@ -3,20 +3,28 @@
 A logistic regression on surface features of the text, trained on labelled
 rows, gives each document its evidence p. Hosts and paths then get posteriors
 by grouped sums: a path's rate is shrunk toward its host's, a host's toward the
-global one, each by the strength that the spread of the groups' means shows
-(method of moments: groups that differ little are shrunk much). A document's
-score is its evidence with the prior odds of its path in place of the global
-odds.
+global one. The strengths follow from the analysis of variance of the evidence:
+pseudo-counts are the variance within groups by that between the groups of one
+parent, so sites that differ little are shrunk much, and sparse ones most. A
+document's score is its evidence with the prior odds of its site in place of the
+global odds. Its own evidence is taken out of its site's sums first, so it
+does not count twice; a document alone on its host has the global rate as prior.
 
 How it runs. The evidence is computed once and written; hosts and paths are
 grouped aggregates with partial sums, so a hot host costs one row a task. The
-strengths are two numbers. At most ``SAMPLE`` labelled rows train the
+strengths are a few numbers. At most ``SAMPLE`` labelled rows train the
 regression; every document is scored whole.
 
-Cases. Null or empty text: features of an empty text. Null host or path: a group
-of its own. Null ids are passed on. Null labels are skipped. Without labels of
-both classes the evidence is the labelled share (1 without labels). Empty tables
-give empty results.
+Sites. :func:`host_of` and :func:`path_of` read them from a url column. The table
+``documents`` has no urls: there the query takes a document's source as its host
+and its language as the path.
+
+Cases. Null or empty text: features of an empty text; very long texts are read
+whole. Null host or path: a group of its own. Null ids are passed on, repeated
+rows are documents of their own. Null labels are skipped. Without labels of both
+classes the evidence is the labelled share (1 without labels). A score of exactly
+``keep_at`` is kept. Empty tables give empty results. Only the named columns are
+read, so further columns never clash.
 """
 
 from __future__ import annotations
@@ -95,36 +103,51 @@ def evidence(docs: DataFrame, model, share: float, id_col: str, text_col: str, h
     return d.mapInArrow(run, "id long, host string, path string, p double")
 
 
-def _strength(groups: DataFrame, rate: float) -> float:
-    """Pseudo-counts of a prior, from the spread of group means (columns ``n, s``) round the rate."""
-    m = F.col("s") / F.col("n")
-    r = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (m - rate) ** 2).alias("ss"), F.count(F.lit(1)).alias("g")).first()
-    if not r.n or r.g < 2:
+def host_of(url: Column) -> Column:
+    """The host of a url, lowered, without user and port; null for what is no url."""
+    host = F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.when(host != "", F.lower(host))
+
+
+def path_of(url: Column) -> Column:
+    """The first directory of a url's path; empty if it has none."""
+    return F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+
+
+def strength(groups: DataFrame, within: float) -> float:
+    """Pseudo-counts of the prior of groups ``n, s`` with parents' sums ``pn, ps``: the variance within by that between."""
+    m = F.col("s") / F.col("n") - F.col("ps") / F.col("pn")
+    r = groups.agg(F.sum(F.col("n") * m * m).alias("between"), F.sum(F.col("n") - F.col("n") * F.col("n") / F.col("pn")).alias("free"), F.sum(1 - F.col("n") / F.col("pn")).alias("kinds")).first()
+    if not r.free or within <= 0:
         return 100.0
-    spread = max(r.ss / r.n - rate * (1 - rate) * r.g / r.n, 1e-6)  # what chance alone would give taken off
-    return float(min(max(rate * (1 - rate) / spread - 1, 1.0), 1e4))
+    spread = (r.between - r.kinds * within) / r.free  # what chance alone would give taken off
+    return float(min(max(within / max(spread, 1e-9), 1.0), 1e4))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, keep_at: float = 0.5) -> DataFrame:
-    """``id, evidence, host_rate, path_rate, score, keep`` of every document."""
+    """``id, evidence, host_rate, path_rate, score, keep`` of every document; the rates are without its own evidence."""
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model, share = train(docs, labels, id_col, text_col)
     e, _ = saved(evidence(docs, model, share, id_col, text_col, host, path), "evidence")
-    paths, p_path = saved(e.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s")), "paths")
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    paths, p_path = saved(e.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "paths")
+    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("ss"), F.count(F.lit(1)).alias("g")).first()
     rate = total.s / total.n if total.n else share
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    kh, kp = _strength(hosts, rate), _strength(paths, rate)
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + kh * rate) / (F.col("n") + kh)).alias("host_rate"))
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select(F.col("host").alias("h"), F.col("path").alias("q"), "host_rate", ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("path_rate"))
-    sites, _ = saved(sites, "sites")
+    within = (total.q - total.ss) / (total.n - total.g) if total.n and total.n > total.g else 0.0
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    both = paths.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).select("h", F.col("path").alias("w"), "n", "s", "hn", "hs")
+    sites, _ = saved(both, "sites")
+    kh = strength(hosts.select(F.col("hn").alias("n"), F.col("hs").alias("s"), F.lit(total.n or 1).alias("pn"), F.lit(total.s or 0.0).alias("ps")), within)
+    kp = strength(sites.select("n", "s", F.col("hn").alias("pn"), F.col("hs").alias("ps")), within)
+    out = e.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("w")))
     drop_saved(docs.sparkSession, p_path)
-    odds = lambda c: F.log(c / (1 - c))
-    z = odds(F.col("p")) + odds(F.col("path_rate")) - odds(F.lit(float(min(max(rate, 1e-6), 1 - 1e-6))))
+    p, odds = F.col("p"), lambda c: F.log(c / (1 - c))
+    held = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
+    out = out.withColumn("host_rate", held((F.col("hs") - p + kh * rate) / (F.col("hn") - 1 + kh)))
+    out = out.withColumn("path_rate", held((F.col("s") - p + kp * F.col("host_rate")) / (F.col("n") - 1 + kp)))
+    z = odds(p) + odds(F.col("path_rate")) - odds(F.lit(float(min(max(rate, 1e-6), 1 - 1e-6))))
     score = 1 / (1 + F.exp(-z))
-    out = e.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
-    return out.select("id", F.col("p").alias("evidence"), "host_rate", "path_rate", score.alias("score"), (score >= keep_at).alias("keep"))
+    return out.select("id", p.alias("evidence"), "host_rate", "path_rate", score.alias("score"), (score >= keep_at).alias("keep"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

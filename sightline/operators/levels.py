@@ -160,8 +160,8 @@ def strong_edges(px: DataFrame, low: int, high: int) -> DataFrame:
     """Runs of thin edges of at least ``low`` that are connected to one of at least ``high``."""
     e = thin_edges(px)
     lab = rg.connection(rg.runs(e.where(F.col("v") >= low).select(*r.KEY)))
-    kept = lab.join(e.where(F.col("v") >= high).select(*r.KEY), ["image_id", "y"]).where("x >= cb AND x < ce").select("region_id").distinct()
-    return lab.join(kept, "region_id", "left_semi").select(*rg.RUN, "region_id")
+    kept = lab.join(e.where(F.col("v") >= high).select(*r.KEY), ["image_id", "y"]).where("x >= cb AND x < ce").select("image_id", "region_id").distinct()
+    return lab.join(kept, ["image_id", "region_id"], "left_semi").select(*rg.RUN, "region_id")
 
 
 def resample(px: DataFrame, grid: DataFrame) -> DataFrame:
@@ -216,8 +216,8 @@ def holes(region: DataFrame, frame: DataFrame) -> DataFrame:
     """Labelled runs of the complement's 4-connected components that do not touch the frame's border."""
     lab = rg.connection(rg.complement(rg.runs(region), frame), eight=False)
     box = frame.groupBy("image_id").agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("cb").alias("_c0"), F.max("ce").alias("_c1"))
-    out = lab.join(box, "image_id").where("y = _y0 OR y = _y1 OR cb = _c0 OR ce = _c1").select("region_id").distinct()
-    return lab.join(out, "region_id", "left_anti").select(*rg.RUN, "region_id")
+    out = lab.join(box, "image_id").where("y = _y0 OR y = _y1 OR cb = _c0 OR ce = _c1").select("image_id", "region_id").distinct()
+    return lab.join(out, ["image_id", "region_id"], "left_anti").select(*rg.RUN, "region_id")
 
 
 def filled(region: DataFrame, frame: DataFrame) -> DataFrame:

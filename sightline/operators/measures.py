@@ -48,8 +48,8 @@ def hysteresis(px: DataFrame, low: int, high: int) -> DataFrame:
     """Runs of the components of v >= low that hold a pixel with v >= high."""
     lab = rg.connection(rg.runs(r.in_range(px, low, 255)))
     strong = px.where(F.col("v") >= high).select("image_id", "y", "x")
-    kept = lab.join(strong, ["image_id", "y"]).where("x >= cb AND x < ce").select("region_id").distinct()
-    return lab.join(kept, "region_id", "left_semi").select(*rg.RUN, "region_id")
+    kept = lab.join(strong, ["image_id", "y"]).where("x >= cb AND x < ce").select("image_id", "region_id").distinct()
+    return lab.join(kept, ["image_id", "region_id"], "left_semi").select(*rg.RUN, "region_id")
 
 
 def off_border(f: DataFrame, px: DataFrame) -> DataFrame:

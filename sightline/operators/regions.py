@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import saved, ship
 from .components import components
 
 RUN = ["image_id", "y", "cb", "ce"]
@@ -78,18 +81,60 @@ def erode(r: DataFrame, ry: int, rx: int) -> DataFrame:
     return runs(full.select("image_id", "y", "x"))
 
 
-def _run_id():
-    return F.col("image_id") * (1 << 32) + F.col("y") * (1 << 16) + F.col("cb")
-
-
-def connection(r: DataFrame, eight: bool = True) -> DataFrame:
-    """Runs with ``region_id``: the least (image, row, column) of their component."""
-    d = merge(r).withColumn("id", _run_id())
+def _label(eight: bool):
+    """Components of one image's disjoint runs by union-find; the smaller place in (row, column) order wins."""
+
+    def run(t: pa.Table) -> pa.Table:
+        y, cb, ce = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "cb", "ce"))
+        order = np.lexsort((cb, y))
+        y, cb, ce = y[order], cb[order], ce[order]
+        # a run's neighbours are consecutive runs of the next row
+        span = int(max(ce.max() - cb.min(), 1)) + 4
+        at = lambda row, col: (row - y[0]) * span + (col - cb.min()) + 1
+        reach = 0 if eight else 1
+        first = np.searchsorted(at(y, ce), at(y + 1, cb + reach))
+        last = np.searchsorted(at(y, cb), at(y + 1, ce - reach), "right")
+        n = np.maximum(last - first, 0)
+        a = np.repeat(np.arange(len(y)), n)
+        b = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        parent = list(range(len(y)))
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            i, j = root(i), root(j)
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+        top = np.array([root(i) for i in range(len(y))])
+        u = t.take(pa.array(order))
+        return u.append_column("region_id", pa.array((y[top] << 32) + cb[top], pa.int64()))
+
+    return run
+
+
+def connection(r: DataFrame, eight: bool = True, tiled: bool = False) -> DataFrame:
+    """Runs with ``region_id``: row * 2^32 + column of the first run of their component, unique within an image.
+
+    An image's runs are labelled in one task, as every window over an image is
+    one; ``tiled`` links runs by joins over the whole table instead, for images of
+    which the runs do not fit a task. Ids of images may be of any type.
+    """
+    d = merge(r)
+    if not tiled:
+        ship(d.sparkSession)
+        kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+        return d.groupBy("image_id").applyInArrow(_label(eight), ", ".join(f"{c} {kinds[c]}" for c in RUN) + ", region_id long")
+    d, _ = saved(d.withColumn("id", F.monotonically_increasing_id()), "runs")
     e = 0 if eight else 1
     o = d.select("image_id", (F.col("y") - 1).alias("y"), F.col("cb").alias("ob"), F.col("ce").alias("oe"), F.col("id").alias("b"))
     links = d.join(o, ["image_id", "y"]).where((F.col("cb") <= F.col("oe") - e) & (F.col("ob") <= F.col("ce") - e)).select(F.col("id").alias("a"), "b")
-    roots = components(links)
-    return d.join(roots, d["id"] == roots["node"], "left").select(*RUN, F.coalesce("root", "id").alias("region_id"))
+    d = d.join(components(links), d["id"] == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    first = d.groupBy("root").agg(F.min(F.shiftleft(F.col("y").cast("long"), 32) + F.col("cb")).alias("region_id"))
+    return d.join(first, "root").select(*RUN, "region_id")
 
 
 def features(labelled: DataFrame) -> DataFrame:

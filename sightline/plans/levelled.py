@@ -61,7 +61,7 @@ _thin = _slopes + f""", am AS (SELECT *, abs(gx) + abs(gy) AS m FROM sl),
 te AS (SELECT image_id, y, x, CASE WHEN n = 9 AND m >= pa AND m >= pb THEN CAST(m AS INTEGER) ELSE 0 END AS v FROM (SELECT a.image_id, a.y, a.x, a.m, count(*) AS n, {_pick(-1)} AS pa, {_pick(1)} AS pb
   FROM am a JOIN (SELECT image_id, y, x, m FROM am) b ON a.image_id = b.image_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY a.image_id, a.y, a.x, a.m, a.gx, a.gy))"""
 on_pixels("thin_edges", m.thin_edges, f"{PX} v FROM te", _thin)
-on_pixels("edges_image", lambda p: m.strong_edges(p, 260, 420), "SELECT * FROM lab WHERE region_id IN (SELECT region_id FROM px JOIN te USING (image_id, y, x) WHERE v >= 420)", _thin + ", " + q._cc.replace("FROM p WHERE v >= 170", "FROM te WHERE v >= 260"), True)
+on_pixels("edges_image", lambda p: m.strong_edges(p, 260, 420), "SELECT * FROM lab WHERE (image_id, region_id) IN (SELECT (image_id, region_id) FROM px JOIN te USING (image_id, y, x) WHERE v >= 420)", _thin + ", " + q._cc.replace("FROM p WHERE v >= 170", "FROM te WHERE v >= 260"), True)
 
 _bilinear = lambda grid: f"""SELECT image_id, y, x, round(sum(f * v), 6) AS v FROM (SELECT g.image_id, g.y, g.x, s.v, (CASE WHEN a = 1 THEN w - w0 ELSE 1 - w + w0 END) * (CASE WHEN b = 1 THEN u - u0 ELSE 1 - u + u0 END) AS f
   FROM (SELECT *, floor(u) AS u0, floor(w) AS w0 FROM ({grid})) g CROSS JOIN (SELECT unnest([0, 1]) AS a) CROSS JOIN (SELECT unnest([0, 1]) AS b) JOIN p s ON s.image_id = g.image_id AND s.y = w0 + a AND s.x = u0 + b) GROUP BY image_id, y, x HAVING count(*) = 4"""
@@ -85,6 +85,6 @@ on_pixels("region_gray_features", lambda p: rounded(m.region_grey(q._lab(p), p),
 on_pixels("region_moments", lambda p: m.raw_moments(q._lab(p)), "SELECT image_id, region_id, " + ", ".join(f"CAST(sum({'*'.join(['1', *['x'] * a, *['y'] * b])}) AS BIGINT) AS m{a}{b}" for a in range(4) for b in range(4 - a)) + " FROM px GROUP BY image_id, region_id", q._cc, True)
 on_pixels("region_ellipse", lambda p: m.ellipse(q._feat(p)).withColumns({c: F.round(c, 4) for c in ("ra", "rb", "phi", "anisometry")}), "SELECT image_id, region_id, round(ra, 4) AS ra, round(rb, 4) AS rb, round(phi, 4) AS phi, round(CASE WHEN rb > 0.001::DOUBLE THEN ra / rb END, 4) AS anisometry FROM (SELECT *, sqrt(greatest(0, 2 * (m20 + m02 + s))) AS ra, sqrt(greatest(0, 2 * (m20 + m02 - s))) AS rb, 0.5::DOUBLE * atan2(CASE WHEN m11 = 0 THEN 0 ELSE 2 * m11 END, m02 - m20) AS phi FROM (SELECT *, sqrt((m20 - m02) * (m20 - m02) + 4 * m11 * m11) AS s FROM ft))", q._cc, True)
 on_pixels("region_boundary", lambda p: m.inner_boundary(r.in_range(p, 110, 255)), "SELECT a.image_id, a.y, a.x FROM p a LEFT JOIN p b ON a.image_id = b.image_id AND b.v >= 110 AND abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE a.v >= 110 GROUP BY a.image_id, a.y, a.x HAVING count(b.x) < 4")
-_hole = q._cc.replace("FROM p WHERE v >= 170", "FROM p WHERE v < 110").replace("a.cb <= b.ce AND b.cb <= a.ce", "a.cb < b.ce AND b.cb < a.ce") + ", hl AS (SELECT lab.* FROM lab WHERE region_id NOT IN (SELECT region_id FROM lab JOIN dims USING (image_id) WHERE y = 0 OR y = h - 1 OR cb = 0 OR ce = w))"
+_hole = q._cc.replace("FROM p WHERE v >= 170", "FROM p WHERE v < 110").replace("a.cb <= b.ce AND b.cb <= a.ce", "a.cb < b.ce AND b.cb < a.ce") + ", hl AS (SELECT lab.* FROM lab WHERE (image_id, region_id) NOT IN (SELECT (image_id, region_id) FROM lab JOIN dims USING (image_id) WHERE y = 0 OR y = h - 1 OR cb = 0 OR ce = w))"
 on_pixels("region_holes", lambda p: m.holes(r.in_range(p, 110, 255), q._frame(p)), "SELECT * FROM hl", _hole, True)
 on_pixels("fill_up", lambda p: m.filled(r.in_range(p, 110, 255), q._frame(p)), "SELECT image_id, y, CAST(cb AS INTEGER) AS cb, CAST(ce AS INTEGER) AS ce FROM zz", _hole + ", " + q._isl("(SELECT image_id, y, x FROM p WHERE v >= 110 UNION SELECT image_id, y, unnest(range(cb, ce)) AS x FROM hl)", "zz"), True)

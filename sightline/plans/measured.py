@@ -29,7 +29,7 @@ on_pixels("lbp_histogram", lambda p: r.histogram(r.lbp(p)), f"SELECT image_id, v
 on_pixels("region_xor", lambda p: rg.union(rg.difference(q._a(p), q._b(p), q._frame(p)), rg.difference(q._b(p), q._a(p), q._frame(p))), RUNS, q._isl(f"(({q._A} EXCEPT {q._B}) UNION ({q._B} EXCEPT {q._A}))", "z"))
 _opened = f"(SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM {q._shrink}, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx))"
 on_pixels("region_opening", lambda p: rg.dilate(rg.erode(rg.runs(r.in_range(p, 110, 255)), 1, 1), 1, 1), RUNS, q._isl(_opened, "z"))
-on_pixels("hysteresis", lambda p: m.hysteresis(p, 170, 200), "SELECT * FROM lab WHERE region_id IN (SELECT region_id FROM px JOIN p USING (image_id, y, x) WHERE v >= 200)", q._cc, True)
+on_pixels("hysteresis", lambda p: m.hysteresis(p, 170, 200), "SELECT * FROM lab WHERE (image_id, region_id) IN (SELECT (image_id, region_id) FROM px JOIN p USING (image_id, y, x) WHERE v >= 200)", q._cc, True)
 on_pixels("regions_off_border", lambda p: m.off_border(q._feat(p), p), "SELECT ft.* FROM ft JOIN dims USING (image_id) WHERE y0 > 0 AND x0 > 0 AND y1 < h - 1 AND x1 < w - 1", q._cc, True)
 on_pixels("select_shape_std", lambda p: m.usual(q._feat(p), "area", 1.0), "SELECT * EXCLUDE (mu, sd) FROM (SELECT *, avg(area) OVER (PARTITION BY image_id) AS mu, stddev_pop(area) OVER (PARTITION BY image_id) AS sd FROM ft) WHERE abs(area - mu) <= sd", q._cc, True)
 on_pixels("region_roundness", lambda p: m.roundness(q._lab(p)).withColumns({c: F.round(c, 6) for c in ("circularity", "compactness")}), "SELECT image_id, region_id, round(4 * pi() * area / (pr * pr), 6) AS circularity, round(pr * pr / area::DOUBLE, 6) AS compactness FROM ft JOIN (SELECT image_id, region_id, count(*) AS pr FROM px a WHERE (SELECT count(*) FROM px b WHERE b.image_id = a.image_id AND b.region_id = a.region_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1) < 9 GROUP BY ALL) USING (image_id, region_id)", q._cc, True)

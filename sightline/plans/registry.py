@@ -173,7 +173,7 @@ on_pixels("region_erosion", lambda p: rg.erode(rg.runs(r.in_range(p, 110, 255)),
 _cc = _isl("(SELECT image_id, y, x FROM p WHERE v >= 170)", "z") + """, n AS (SELECT *, image_id * 4294967296 + y * 65536 + cb AS id FROM z),
 e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.image_id = b.image_id AND b.y = a.y + 1 AND a.cb <= b.ce AND b.cb <= a.ce), ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(id, root) AS (SELECT id, id FROM n UNION SELECT ee.b, reach.root FROM reach JOIN ee ON ee.a = reach.id WHERE ee.b > reach.root),
-lab AS (SELECT n.image_id, y, cb, ce, region_id FROM n JOIN (SELECT id, min(root) AS region_id FROM reach GROUP BY id) USING (id)),
+lab AS (SELECT n.image_id, y, cb, ce, region_id FROM n JOIN (SELECT id, (min(root) % 4294967296) // 65536 * 4294967296 + min(root) % 65536 AS region_id FROM reach GROUP BY id) USING (id)),
 px AS (SELECT image_id, region_id, y, unnest(range(cb, ce)) AS x FROM lab),
 ft AS (SELECT image_id, region_id, count(*) AS area, min(y) AS y0, CAST(min(x) AS INTEGER) AS x0, max(y) AS y1, CAST(max(x) AS INTEGER) AS x1, round(avg(y), 6) AS row, round(avg(x), 6) AS col, round(var_pop(y), 6) AS m20, round(var_pop(x), 6) AS m02, round(covar_pop(y, x), 6) AS m11 FROM px GROUP BY ALL)"""
 _lab = lambda p: rg.connection(rg.runs(r.in_range(p, 170, 255)))

@@ -37,23 +37,31 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and
+    the master is local (tests) a temporary folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sightline-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write a frame to the shared folder and read it again: its lineage ends there."""
+    """Write a frame to the shared folder and read it again: its lineage ends there.
+
+    What is not dropped before goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sightline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 

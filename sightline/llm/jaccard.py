@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..session import saved, ship
 from . import simhash
-from .hashing import sequence_hashes, word_hashes
+from .hashing import pack_sorted, sequence_hashes, unpack_sorted, word_hashes
 
 _U = np.uint64
 #: Words of a shingle, and the least similarity as a fraction.
@@ -48,6 +48,10 @@ WORDS, NUM, DEN = 5, 4, 5
 SMALL = 16
 #: Parts of the hash range that are counted to rule out pairs of a larger group.
 BINS = 256
+#: Bits of a shingle's hash that travel to a group: two sets of 500 agree by chance in one in a thousand million.
+KEPT = 48
+#: Most rows of ids that are broadcast to texts; beyond, both are shuffled.
+FEW = 500_000
 #: One text of so many is read for the order, and the shingles that are put last: at least so often found, at most so many.
 EVERY, OFTEN, LAST = 16, 8, 50_000
 
@@ -174,12 +178,12 @@ def _few():
     return run
 
 
-def _with_sets(batches):
-    """Groups of rows sorted by the first column: their numbers, and their last column as sets."""
+def _with_binary(batches):
+    """Groups of rows sorted by the first column: their numbers, and the bytes of their last column."""
     held: list[tuple[np.ndarray, list]] = []
 
     def group():
-        return np.concatenate([a for a, _ in held]), [np.frombuffer(x.as_buffer(), _U) for _, xs in held for x in xs]
+        return np.concatenate([a for a, _ in held]), [x.as_buffer() for _, xs in held for x in xs]
 
     for b in batches:
         a = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns[:-1]])
@@ -195,6 +199,49 @@ def _with_sets(batches):
         yield group()
 
 
+class _Bounds:
+    """Bounds of what a member's set can have in common with others', from their sketches (see :func:`at_most`)."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sketches])
+        self.rows = {k: np.flatnonzero(self.size == k) for k in np.unique(self.size)}
+        self.place = np.zeros(len(sketches), int)
+        for at in self.rows.values():
+            self.place[at] = np.arange(len(at))
+        self.tables = {(k, k): np.stack([sketches[i] for i in at]).astype(np.int32) for k, at in self.rows.items()}
+
+    def _table(self, k: int, parts: int) -> np.ndarray:
+        if (k, parts) not in self.tables:
+            self.tables[k, parts] = self.tables[k, k].reshape(-1, parts, k // parts).sum(axis=2)
+        return self.tables[k, parts]
+
+    def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
+        out = np.full(len(others), np.iinfo(np.int64).max // 16)
+        for k in self.rows:
+            at = np.flatnonzero(self.size[others] == k)
+            if parts := int(min(k, self.size[i])) if len(at) else 0:
+                out[at] = np.minimum(self._table(self.size[i], parts)[self.place[i]], self._table(k, parts)[self.place[others[at]]]).sum(axis=1)
+        return out
+
+
+def _needed(batches):
+    """Members of a group that may be near copies of a member of another component."""
+    for g, data in _with_binary(batches):
+        roots, at, size = np.unique(g[:, 4], return_inverse=True, return_counts=True)
+        if len(roots) < 2:
+            continue
+        bounds, need = _Bounds([np.frombuffer(x, np.uint8) for x in data]), np.zeros(len(g), bool)
+        for i in np.flatnonzero(at != size.argmax()).tolist():
+            n = g[i, 2]
+            # at the first shingle in common no more than these can be
+            j = np.flatnonzero((at != at[i]) & near(n, g[:, 2], np.minimum(n - g[i, 3], g[:, 2] - g[:, 3])))
+            j = j[near(n, g[j, 2], bounds(i, j))]
+            if len(j):
+                need[i] = need[j] = True
+        if need.any():
+            yield _batch([g[need]], ["h", "node", "n", "place", "root"])
+
+
 def _near_ones(g: np.ndarray, sets: list, bins: np.ndarray, i: int, others: np.ndarray, cluster: np.ndarray):
     """Members among the others that are near copies of member i, those of like size first; members of its own cluster by then are passed over."""
     n, m = g[i, 2], g[others, 2]
@@ -213,11 +260,12 @@ def _near_ones(g: np.ndarray, sets: list, bins: np.ndarray, i: int, others: np.n
 
 def _linked(batches):
     """Links that join the components of each group's members as all its near copies do."""
-    for g, sets in _with_sets(batches):
+    for g, data in _with_binary(batches):
+        sets = [unpack_sorted(x) for x in data]
         roots, at, size = np.unique(g[:, 4], return_inverse=True, return_counts=True)
         if len(roots) < 2:
             continue
-        bins = np.stack([np.bincount((s >> _U(56)).astype(np.int64), minlength=BINS) for s in sets]).astype(np.int32)
+        bins = np.stack([np.bincount((s >> _U(KEPT - 8)).astype(np.int64), minlength=BINS) for s in sets]).astype(np.int32)
         links, seen, cluster = [], np.empty(0, np.int64), at.copy()
         for c in np.argsort(-size, kind="stable"):
             own = np.flatnonzero(at == c)
@@ -253,8 +301,13 @@ def _similar(batches):
         yield pa.record_batch([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, key``: the smallest id of each component, and a digest of its text's words."""
+def few(ids: DataFrame) -> DataFrame:
+    """The rows for a join with texts: broadcast, if they are few."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``id, key``: the smallest id of each component, and a digest of its text's words; and the same of all rows."""
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL")
@@ -283,23 +336,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # the others depend on the key alone
     nodes = rows.groupBy("key").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "first", "sketch", "fp")))
     nodes, _ = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    def sets_of(asked: DataFrame) -> DataFrame:
+    def sets_of(asked: DataFrame, pack) -> DataFrame:
         """``node, s``: the whole sets of some nodes."""
-        asked = asked.distinct().join(nodes.select("node", "key", F.col("least").alias("id")), "node")
+        asked, _ = saved(asked.distinct().join(nodes.select("node", "key", F.col("least").alias("id")), "node"), "asked")
 
         def sets(batches):
             for b in batches:
-                out = [(n, shingles(w).tobytes()) for n, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) if xxhash.xxh3_128_digest((w := words(x)).tobytes()) == k]
+                out = [(n, pack(shingles(w))) for n, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) if xxhash.xxh3_128_digest((w := words(x)).tobytes()) == k]
                 yield pa.record_batch([pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["node", "s"])
 
-        return saved(asked.join(d, "id").select("node", "key", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "sets")[0]
+        return saved(d.join(few(asked), "id").select("node", "key", "text").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "sets")[0]
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Of the candidates those that are near copies, from the whole sets of the texts in them."""
         end = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(end("a"), "a").join(end("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
         pairs, _ = saved(pairs.mapInArrow(_possible, "a long, b long"), "candidates")
-        s = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        s = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), np.ndarray.tobytes)
         both = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         return saved(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), "similar")[0]
 
@@ -320,26 +373,37 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     links = links.union(checked(found.where("place < 0").select("a", "b")))
     large, _ = saved(apart(found.where("place >= 0").select("h", F.col("a").alias("node"), F.col("b").alias("n"), "place"), links), "large")
     several = large.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    large = large.join(several, "h")
-    large = large.join(sets_of(large.select("node")), "node").select("h", "node", "n", "place", "root", "s")
+    large = large.join(several, "h").join(nodes.select("node", "sketch"), "node").select("h", "node", "n", "place", "root", "sketch")
+    large, _ = saved(by_shingle(large).mapInArrow(_needed, "h long, node long, n long, place long, root long"), "needed")
+    large = large.join(sets_of(large.select("node"), lambda s: pack_sorted(s >> _U(64 - KEPT))), "node").select("h", "node", "n", "place", "root", "s")
     more, _ = saved(by_shingle(large).mapInArrow(_linked, "a long, b long"), "linked")
     links = links.union(more)
     label = nodes.select("node", "key", "least").join(components(links), "node", "left").select("key", "least", F.coalesce("root", "node").alias("root"))
-    return label.groupBy("root").agg(F.min(F.struct("least", "key")).alias("x")).select(F.col("x.least").alias("id"), "x.key")
+    kept, _ = saved(label.groupBy("root").agg(F.min(F.struct("least", "key")).alias("x")).select(F.col("x.least").alias("id"), "x.key"), "kept")
+    return kept, rows.select("id", "key")
 
 
 def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, that of the smallest id; rows without id stay."""
-    kept = groups(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("key").alias("__key"))
-    cols = docs.columns
-    d = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__id")).drop("__id")
+    """One row of each group, that of the smallest id; rows without id stay.
+
+    Texts are not shuffled if the ids that go are few. Rows that share an id are
+    told apart by their words.
+    """
+    kept, rows = groups(docs, id_col, text_col)
+    cols, name = docs.columns, F.col(f"`{id_col}`")
+    own_id = lambda ids: ids.select(F.col("id").alias("__id"))
+    shared, _ = saved(rows.groupBy("id").count().where("count > 1").select("id"), "shared_ids")
+    gone, _ = saved(rows.select("id").join(kept, "id", "left_anti").union(shared).distinct(), "gone")
+    single = docs.where(name.isNotNull()).join(few(own_id(gone)), name.cast("long") == F.col("__id"), "left_anti")
+    # rows of one id that hold the same words are copies too
+    several = docs.join(few(own_id(shared)), name.cast("long") == F.col("__id"))
+    several = several.join(kept.select(F.col("id").alias("__kept"), F.col("key").alias("__key")), F.col("__id") == F.col("__kept")).drop("__id", "__kept")
     at = cols.index(text_col)
 
     def own(batches):
         for b in batches:
             yield b.filter(pa.array([xxhash.xxh3_128_digest(words(t).tobytes()) == k for t, k in zip(b.column(at), b.column(len(cols)).to_pylist(), strict=True)], pa.bool_()))
 
-    d = d.mapInArrow(own, d.schema)
-    # rows of one id that hold the same words are copies too
-    d = d.groupBy(f"`{id_col}`", "__key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("x")).select("x.*")
-    return d.union(docs.where(F.col(f"`{id_col}`").isNull()))
+    several = several.mapInArrow(own, several.schema)
+    several = several.groupBy(f"`{id_col}`", "__key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("x")).select("x.*")
+    return single.union(several).union(docs.where(name.isNull()))

@@ -77,12 +77,18 @@ def _axis(d: DataFrame) -> DataFrame:
 
 
 def fit_line_robust(p: DataFrame, rounds: int = 3, huber: float = 1.345) -> DataFrame:
-    """A line by iterated reweighting: Huber weights of distances in units of their median / 0.6745."""
+    """A line by iterated reweighting: Huber weights of distances in units of their median / 0.6745.
+
+    Every round is windows over a set's points, so all rounds share one exchange.
+    """
+    of = W.partitionBy("case_id")
     d = p.select("case_id", "x", "y", F.lit(1.0).alias("w"))
     for _ in range(rounds):
-        dist = F.abs((F.col("y") - F.col("my")) * F.cos("angle") - (F.col("x") - F.col("mx")) * F.sin("angle"))
-        e = d.join(_axis(d), "case_id").withColumn("_d", dist)
-        e = e.join(e.groupBy("case_id").agg((F.median("_d") / 0.6745).alias("_s")), "case_id")
+        s = {"s": "w", "sx": "w * x", "sy": "w * y", "sxx": "w * x * x", "syy": "w * y * y", "sxy": "w * x * y"}
+        e = d.select("*", *(F.sum(F.expr(c)).over(of).alias(n) for n, c in s.items()))
+        e = e.select("case_id", "x", "y", F.expr("sx / s").alias("mx"), F.expr("sy / s").alias("my"), F.expr("0.5D * atan2(2 * (sxy / s - (sx / s) * (sy / s)), (sxx / s - (sx / s) * (sx / s)) - (syy / s - (sy / s) * (sy / s)))").alias("angle"))
+        e = e.select("case_id", "x", "y", F.abs((F.col("y") - F.col("my")) * F.cos("angle") - (F.col("x") - F.col("mx")) * F.sin("angle")).alias("_d"))
+        e = e.select("*", (F.median("_d").over(of) / 0.6745).alias("_s"))
         d = e.select("case_id", "x", "y", F.when((F.col("_s") <= 0) | (F.col("_d") <= huber * F.col("_s")), 1.0).otherwise(huber * F.col("_s") / F.col("_d")).alias("w"))
     return _axis(d)
 

@@ -138,13 +138,14 @@ def connection(r: DataFrame, eight: bool = True, tiled: bool = False) -> DataFra
 
 
 def features(labelled: DataFrame) -> DataFrame:
-    """Area, box, centroid and central moments of each region, from run sums."""
+    """Area, box, centroid and central moments of each region, from run sums (exact for columns up to a million)."""
+    labelled = labelled.withColumns({c: F.col(c).cast("long") for c in ("y", "cb", "ce")})
     n, y = F.col("ce") - F.col("cb"), F.col("y")
     sx = (F.col("cb") + F.col("ce") - 1) * n / 2
     # sum of squares of cb .. ce - 1
     sq = lambda k: k * (k + 1) * (2 * k + 1) / 6
     sxx = sq(F.col("ce") - 1) - sq(F.col("cb") - 1)
-    g = labelled.groupBy("image_id", "region_id").agg(F.sum(n).alias("area"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("cb").alias("x0"), (F.max("ce") - 1).alias("x1"), F.sum(y * n).alias("sy"), F.sum(sx).alias("sx"), F.sum(y * y * n).alias("syy"), F.sum(sxx).alias("sxx"), F.sum(y * sx).alias("sxy"))
+    g = labelled.groupBy("image_id", "region_id").agg(F.sum(n).alias("area"), F.min("y").cast("int").alias("y0"), F.max("y").cast("int").alias("y1"), F.min("cb").cast("int").alias("x0"), (F.max("ce") - 1).cast("int").alias("x1"), F.sum(y * n).alias("sy"), F.sum(sx).alias("sx"), F.sum(y * y * n).alias("syy"), F.sum(sxx).alias("sxx"), F.sum(y * sx).alias("sxy"))
     a = F.col("area").cast("double")
     c = lambda s, p, q: F.col(s) / a - F.col(p) / a * (F.col(q) / a)
     g = g.select("image_id", "region_id", "area", "y0", "x0", "y1", "x1", (F.col("sy") / a).alias("row"), (F.col("sx") / a).alias("col"), c("syy", "sy", "sy").alias("m20"), c("sxx", "sx", "sx").alias("m02"), c("sxy", "sy", "sx").alias("m11"))

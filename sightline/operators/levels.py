@@ -193,8 +193,11 @@ def shape_match(px: DataFrame, template: DataFrame, least: float, turns: list[fl
     """Mean cosine between a template's gradients and an image's, at each place and turn where all its points lie inside.
 
     The template's points are those with |gx| + |gy| >= least, at most its own
-    pixels, so the exploded rows grow with the image only. Its origin is (0, 0).
+    pixels (4096 are the most), so the exploded rows grow with the image only. Its
+    origin is (0, 0).
     """
+    if template.limit(4097).count() > 4096:
+        raise ValueError("templates over 64 x 64 pixels need a pyramid")
     unit = lambda d: d.withColumn("_n", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
     t = unit(slopes(template).where(F.abs("gx") + F.abs("gy") >= least)).select(F.col("y").alias("ty"), F.col("x").alias("tx"), (F.col("gx") / F.col("_n")).alias("tu"), (F.col("gy") / F.col("_n")).alias("tw"))
     cs = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(round(math.cos(a), 12)).alias("c"), F.lit(round(math.sin(a), 12)).alias("s")) for i, a in enumerate(turns)])

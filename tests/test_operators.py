@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import geometry, measures, raster, regions
 from sightline.operators.components import components
-from sightline.plans import measured, registry  # noqa: F401
+from sightline.plans import further, levelled, measured, registry, shaped  # noqa: F401
 from sightline.streaming import variation
 
 
@@ -129,7 +129,7 @@ def test_point_in_a_square(spark):
     assert measures.vertex_distance(k, 7.0, 8.0).first().distance == 5.0
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL)[::9])
+@pytest.mark.parametrize("name", sorted(registry.SQL)[::3])
 def test_against_sql(spark, name):
     import duckdb
 

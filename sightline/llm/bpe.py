@@ -5,15 +5,19 @@ bytes are folded by ranked merges: of all neighbouring pieces the pair of least
 rank joins, until no pair has a rank. Decoding concatenates the pieces' bytes.
 
 :func:`encode_words` is the fold in Spark's higher-order functions over a table
-of distinct words with the ranks as a literal map. Looking up a pair in a map of
-50,256 entries reads the map from its start, so a word costs milliseconds; the
-README has the figures. :func:`encode` therefore does the same fold in Arrow
+of distinct words with the ranks as a literal: an array of short maps by hash, so
+a look-up does not read the map from its start. A word still costs about half a
+millisecond of two cores, as lambdas are interpreted; the README has the
+figures. :func:`encode` therefore does the same fold in Arrow
 batches, with the ranks in a hash map and a bounded cache of distinct words in
 each Python worker. Nothing is shuffled, and a worker holds one batch of texts,
 the ranks (a fixed file) and at most ``CACHE`` words.
 
 Cases. Null or empty text: no ids. Text that looks like a special token is
-ordinary text. Null ids of rows are passed on. Repeated rows are encoded each.
+ordinary text. Null ids of rows are passed on. Repeated rows are encoded each; of
+pairs of equal rank the first joins. Very long texts and words are read whole.
+Empty tables give empty results. Other columns than those kept never clash; a
+kept column must not be named like a result.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,25 +218,45 @@ def digests(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text
     return _run(docs, rank_path, pattern, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", [*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string")])
 
 
-def encode_words(spark: SparkSession, words: DataFrame, rank_path: str) -> DataFrame:
-    """``word`` (binary) and ``ids``: the fold in higher-order functions, the ranks a literal map."""
-    ranks = load_ranks(rank_path)
-    keys = F.transform(F.split(F.lit(",".join(p.hex() for p in ranks)), ","), F.unhex)
-    lookup = F.map_from_arrays(keys, F.transform(F.split(F.lit(",".join(map(str, ranks.values()))), ","), lambda x: x.cast("int")))
+#: Buckets of the rank literal.
+BUCKETS = 1 << 16
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank map as a literal that is not searched from its start: an array of short maps by the piece's hash, each as a string.
+
+    Only ``split`` makes it, which the optimiser folds into one literal; a
+    higher-order function there would run again for every look-up.
+    """
+    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for p, r in ranks.items():
+        buckets[xxhash.xxh64_intdigest(p, 42) % BUCKETS].append(f"{p.hex().upper()}:{r}")  # Spark's xxhash64 has the seed 42
+    return F.split(F.lit(";".join(",".join(b) for b in buckets)), ";")
+
+
+def encode_words(words: DataFrame, rank_path: str) -> DataFrame:
+    """``word`` (binary) and ``ids``: the fold in higher-order functions, the ranks a literal in buckets."""
+    table_ = rank_literal(load_ranks(rank_path))
     none = F.lit(1 << 30)
-    rank = lambda p: F.coalesce(F.try_element_at(lookup, p), none)
+    found = lambda p: F.try_element_at(F.str_to_map(F.get(table_, F.pmod(F.xxhash64(p), F.lit(BUCKETS)).cast("int")), F.lit(","), F.lit(":")), F.hex(p)).cast("int")
+    rank = lambda p: F.coalesce(found(p), none)
     first = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.lit(1)))
+    cut = lambda p, a, n: F.slice(p, a, n)
+    scored = lambda p: F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.struct(rank(F.concat(F.get(p, i), F.get(p, i + 1))).alias("r"), i.alias("i"))))
+
+    def step(state, _):
+        # the least rank, the first of equals; nothing left to merge: as it is
+        p, i = state["p"], state["best"]["i"]
+        merged = F.concat(cut(p, F.lit(1), i), F.array(F.concat(F.get(p, i), F.get(p, i + 1))), cut(p, i + 3, F.size(p)))
+        return F.when(state["best"]["r"] < none, _state(merged)).otherwise(state)
 
-    def step(parts, _):
-        pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: F.concat(a, b))
-        scored = F.zip_with(F.transform(pairs, rank), F.sequence(F.lit(1), F.size(parts) - 1), lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-        best = F.array_min(scored)
-        merged = lambda i: F.concat(F.slice(parts, F.lit(1), i - 1), F.array(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))), F.slice(parts, i + 2, F.size(parts)))
-        return F.when((F.size(parts) > 1) & (best["r"] < none), merged(best["i"])).otherwise(parts)
+    def _state(p):
+        best = F.coalesce(F.array_min(scored(p)), F.struct(none.alias("r"), F.lit(0).alias("i")))
+        return F.struct(p.alias("p"), best.alias("best"))
 
     w = words.select("word").where(F.length("word") > 0)
-    parts = F.aggregate(F.sequence(F.lit(1), F.length("word")), first, step)
-    return w.select("word", F.transform(parts, lambda p: F.element_at(lookup, p)).alias("ids"))
+    parts = F.aggregate(F.sequence(F.lit(1), F.length("word")), _state(first), step, lambda s: s["p"])
+    return w.select("word", F.transform(parts, lambda p: F.coalesce(found(p), F.lit(-1))).alias("ids"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

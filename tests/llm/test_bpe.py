@@ -36,7 +36,7 @@ def test_round_trip_in_frames(spark):
 def test_higher_order_fold(spark):
     words = [b" the", b"xyzzy", " né".encode(), b"a", b"thing"]
     d = spark.createDataFrame([(bytearray(w),) for w in words], "word binary")
-    got = {bytes(r.word): r.ids for r in bpe.encode_words(spark, d, PATH).collect()}
+    got = {bytes(r.word): r.ids for r in bpe.encode_words(d, PATH).collect()}
     assert got == {w: bpe.fold(w, RANKS) for w in words}
 
 

@@ -61,3 +61,12 @@ def test_one_source_of_all_and_equal_sizes(spark):
     d = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
     got = mixing.copies(d).collect()
     assert abs(sum(r.copies for r in got) - 3000) <= 1
+
+
+def test_a_third_of_all_rows_without_id_and_very_long_texts(spark):
+    d = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("w "), F.repeat(F.lit("x "), (F.col("id") % 5).cast("int"))).alias("text"), F.lit("s").alias("source"), F.lit(1).alias("copies"))
+    d = d.union(spark.createDataFrame([(9000, "y " * 200_000, "t", 1), (9001, "z", "t", 1)], d.schema))
+    got = mixing.copies(d).collect()
+    assert len(got) == 3002 and {r.id: r.size for r in got}[9000] == 200_000
+    check(None, got)
+    assert mixing.mix(d).columns == d.columns

@@ -102,3 +102,10 @@ def test_covered_parts_are_left_out():
     assert s._union([(1, 0, 5), (2, 2, 9), (9, 1, 12), (20, 0, 22)]) == [(1, 12), (20, 22)]
     assert s._free(0, 30, [(1, 12), (20, 22)]) == [(0, 1), (12, 20), (22, 30)]
     assert s._free(5, 10, [(1, 12)]) == [] and s._free(5, 10, []) == [(5, 10)]
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    text = "plain words here " * 60_000 + f"token = {KEY} " + "more words " * 1000
+    d = spark.createDataFrame([(1, text, 5, "x"), (2, None, 5, "x")], "doc_id long, text string, n_hex int, redacted string")
+    got = {r.doc_id: r for r in s.scan(d, redacted=True).collect()}
+    assert got[1].n_assign == 1 and got[1].spans == f"assign:{17 * 60_000}:{17 * 60_000 + 8 + len(KEY)}" and got[2].spans == "" and got[2].redacted is None

@@ -60,3 +60,10 @@ def test_rows(spark, monkeypatch):
         assert f"adpcm={zlib.crc32(dec):08x}" in r.feature
     assert rows[0].feature == rows[1].feature and rows[4].feature == rows[5].feature
     assert t.store(d.limit(0), media=False).collect() == []
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    d = spark.createDataFrame([(None, "abc"), (None, "abc"), (None, None), (7, "abc")], "doc_id long, text string")
+    rows = t.store(d, media=False).collect()
+    assert sorted(str(r.id) for r in rows) == ["7", "None", "None", "None"]
+    assert len({tuple(r)[1:] for r in rows}) == 2

@@ -57,9 +57,11 @@ LEAST, PAIR, CLEAR = 3, 4, 15.0
 #: The least factor by which a node's two probabilities differ, as a logarithm.
 FACTOR = 0.7
 #: Most labelled rows of the calibration; words and pairs that a worker counts before it passes them on.
-SAMPLE, CACHE = 8000, 300_000
+SAMPLE, CACHE = 8000, 100_000
 #: Characters of texts that are scanned at once.
-PART = 2_000_000
+PART = 500_000
+#: Rows of a batch that are taken at once; bounds what a worker holds beside the batch.
+ROWS = 500
 #: Most rows of labels, of pairs to count and of nodes that are broadcast.
 LABELS, PAIRS, NODES = 2_000_000, 500_000, 500_000
 #: A word's end.
@@ -228,7 +230,7 @@ def _counter(pairs):
             keys = list(n[0].keys() | n[1].keys())
             return pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in n)], names=["key", "n0", "n1"])
 
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(t)
                 if wanted is None:
@@ -370,7 +372,8 @@ def features(docs: DataFrame, nodes: DataFrame, held, text_col: str, keep: tuple
 
     def run(batches):
         for b in batches:
-            f = _scorer(held)(b.column(b.num_columns - 1).to_pylist())
+            text = b.column(b.num_columns - 1)
+            f = np.concatenate([np.empty((0, TOP + 1)), *(_scorer(held)(text.slice(at, ROWS).to_pylist()) for at in range(0, b.num_rows, ROWS))])
             yield pa.record_batch([*b.columns[:-1], *(pa.array(np.ascontiguousarray(x)) for x in f.T)], names=[*keep, *cols])
 
     return d.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), *(f"{c} double" for c in cols)]))

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
+from .resident import kept, lean
 
 #: Words of which a worker remembers the ids.
 CACHE = 400_000
@@ -133,16 +134,10 @@ class Encoder:
         return [known.get(x) or self._chunk(x) for x in self.coarse(text)]
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
-
-
 def _encoder(ranks, pattern: str) -> Encoder:
-    """One encoder for a worker, which outlives its tasks."""
+    """One encoder for a worker, which outlives its tasks until another operator runs there."""
     key = (ranks.id, pattern) if hasattr(ranks, "id") else (id(ranks), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks.value if hasattr(ranks, "value") else ranks, pattern)
-    return _ENCODERS[key]
+    return kept("bpe", key, lambda: Encoder(ranks.value if hasattr(ranks, "value") else ranks, pattern))
 
 
 def _run(docs: DataFrame, rank_path: str, pattern: str, row, schema: str, kept: list[Column]) -> DataFrame:
@@ -156,6 +151,7 @@ def _run(docs: DataFrame, rank_path: str, pattern: str, row, schema: str, kept:
     extra = [(x.split()[0], x.split()[1]) for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
+    @lean("bpe")
     def run(batches):
         e = _encoder(ranks, pattern)
         for b in batches:

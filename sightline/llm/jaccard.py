@@ -40,6 +40,7 @@ from ..operators.components import components
 from ..session import saved, ship
 from . import simhash
 from .hashing import pack_sorted, sequence_hashes, unpack_sorted, word_hashes
+from .resident import lean
 
 _U = np.uint64
 #: Words of a shingle, and the least similarity as a fraction.
@@ -148,6 +149,7 @@ _OUT = ["h", "a", "b", "place"]
 def _few():
     """Rows h, node, n, place, root: pairs (place -1) of different components, and the rows of groups over ``SMALL`` that have any left."""
 
+    @lean()
     def run(batches):
         out, n = [], 0
         for g in _groups(batches):
@@ -224,6 +226,7 @@ class _Bounds:
         return out
 
 
+@lean()
 def _needed(batches):
     """Members of a group that may be near copies of a member of another component."""
     for g, data in _with_binary(batches):
@@ -258,6 +261,7 @@ def _near_ones(g: np.ndarray, sets: list, bins: np.ndarray, i: int, others: np.n
         at, step = at + step, 8 * step
 
 
+@lean()
 def _linked(batches):
     """Links that join the components of each group's members as all its near copies do."""
     for g, data in _with_binary(batches):
@@ -282,6 +286,7 @@ def _linked(batches):
             yield _batch([np.array(links, np.int64)], ["a", "b"])
 
 
+@lean()
 def _possible(batches):
     """The pairs whose sketches let them be near copies."""
     for b in batches:
@@ -291,6 +296,7 @@ def _possible(batches):
         yield pa.record_batch([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
 
+@lean()
 def _similar(batches):
     """The pairs whose sets are near copies."""
     for b in batches:
@@ -312,6 +318,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     ship(spark)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id IS NOT NULL")
 
+    @lean()
     def some(batches):
         for b in batches:
             yield pa.record_batch([pa.array(np.concatenate([shingles(words(x)) for x in b.column(0)] or [np.empty(0, _U)]).view(np.int64))], names=["h"])
@@ -319,6 +326,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     often = d.where(F.pmod(F.xxhash64("id"), F.lit(EVERY)) == 0).select("text").mapInArrow(some, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
     last = np.sort(np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(LAST).collect()], np.int64).view(_U))
 
+    @lean()
     def prefixes(batches):
         for b in batches:
             keys, sizes, firsts, sketches, prints = [], [], [], [], []
@@ -340,6 +348,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
         """``node, s``: the whole sets of some nodes."""
         asked, _ = saved(asked.distinct().join(nodes.select("node", "key", F.col("least").alias("id")), "node"), "asked")
 
+        @lean()
         def sets(batches):
             for b in batches:
                 out = [(n, pack(shingles(w))) for n, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) if xxhash.xxh3_128_digest((w := words(x)).tobytes()) == k]
@@ -400,6 +409,7 @@ def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     several = several.join(kept.select(F.col("id").alias("__kept"), F.col("key").alias("__key")), F.col("__id") == F.col("__kept")).drop("__id", "__kept")
     at = cols.index(text_col)
 
+    @lean()
     def own(batches):
         for b in batches:
             yield b.filter(pa.array([xxhash.xxh3_128_digest(words(t).tobytes()) == k for t, k in zip(b.column(at), b.column(len(cols)).to_pylist(), strict=True)], pa.bool_()))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import saved, ship, table
 from ..operators.components import components
+from .resident import lean
 
 _U = np.uint64
 BITS, SEED = 64, 42
@@ -74,6 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id, fp``: the fingerprint as a signed long."""
     ship(docs.sparkSession)
 
+    @lean()
     def run(batches):
         for b in batches:
             fps = [_signed(fingerprint(x.as_buffer().to_pybytes(), k)) if x.is_valid else 0 for x in b.column(1)]
@@ -117,6 +119,7 @@ def _grouped(radius: int, large: int | None):
     def batch(t, a, b):
         return pa.record_batch([pa.array(x, pa.int64()) for x in (t, a, b)], names=["t", "a", "b"])
 
+    @lean()
     def run(batches):
         key, held, n, over = None, [], 0, False
 

@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 from ..session import drop_saved, saved, ship, table
 from .hashing import mix
 from .logistic import Logistic
+from .resident import kept, lean
 
 DISCOUNT, DEPTH, TOP = 0.75, 8, 4
 #: Documents that a node needs, toxic documents that a pair needs, and the least log-likelihood statistic (chi-squared, one degree).
@@ -207,20 +208,15 @@ class Scorer:
         return out
 
 
-_SCORERS: dict = {}
-
-
 def _scorer(held) -> Scorer:
-    """One scorer for a worker, which outlives its tasks."""
-    if held.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[held.id] = Scorer(held.value)
-    return _SCORERS[held.id]
+    """One scorer for a worker, which outlives its tasks until another operator runs there."""
+    return kept("toxicity", held.id, lambda: Scorer(held.value))
 
 
 def _counter(pairs):
     """Documents by class that have a word, and a pair: with ``pairs`` None all pairs of toxic documents, else those in it (all if empty) of ordinary ones."""
 
+    @lean("toxicity")
     def run(batches):
         n = Counter(), Counter()
         wanted = pairs.value if pairs is not None else None
@@ -370,6 +366,7 @@ def features(docs: DataFrame, nodes: DataFrame, held, text_col: str, keep: tuple
     if held is None:
         return _joined(d, nodes, keep, cols)
 
+    @lean("toxicity")
     def run(batches):
         for b in batches:
             text = b.column(b.num_columns - 1)
@@ -383,6 +380,7 @@ def _joined(d: DataFrame, nodes: DataFrame, keep: tuple[str, ...], cols: list[st
     """The features by joins, for more nodes than a broadcast may hold."""
     d, _ = saved(d.withColumn("__row", F.monotonically_increasing_id()), "scored")
 
+    @lean("toxicity")
     def split(batches):
         for b in batches:
             rows, w, u, n = [], [], [], []

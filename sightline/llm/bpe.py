@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from .resident import kept, lean
+from .resident import kept, lean, parts
 
 #: Words of which a worker remembers the ids.
-CACHE = 400_000
+CACHE = 150_000
 #: Longest word (in characters) that is remembered.
 LONGEST = 64
 #: Unicode white space, as the pattern's \\s; Python's has four control characters more.
@@ -107,7 +107,9 @@ class Encoder:
         # between two white-space runs the pattern can be applied alone: no match spans more
         self.coarse = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.words = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
-        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}  # tuples of plain values: the collector skips them
+        # in two halves, so that words in use outlive rare ones; tuples of plain values: the collector skips them
+        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
 
     def _word(self, w: str) -> tuple[int, str, bytes, tuple[int, ...]]:
         ids = tuple(fold(w.encode(), self.ranks))
@@ -115,23 +117,27 @@ class Encoder:
 
     def _keep(self, x: str, out):
         if len(x) <= LONGEST:
-            if len(self.known) >= CACHE:
-                self.known.clear()
+            if len(self.known) >= CACHE // 2:
+                self.known, self.older = {}, self.known
             self.known[x] = out
         return out
 
+    def _known(self, x: str) -> tuple[int, str, bytes, tuple[int, ...]] | None:
+        return self.known.get(x) or (self._keep(x, out) if (out := self.older.get(x)) else None)
+
     def _chunk(self, x: str) -> tuple[int, str, bytes, tuple[int, ...]]:
+        if out := self.older.get(x):
+            return self._keep(x, out)
         words = self.words(x)
         if len(words) == 1:
             return self._keep(x, self._word(x))
         # its words are mostly known from other places
-        parts = [self.known.get(w) or self._keep(w, self._word(w)) for w in words]
+        parts = [self._known(w) or self._keep(w, self._word(w)) for w in words]
         return self._keep(x, (sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts]), tuple([i for p in parts for i in p[3]])))
 
     def chunks(self, text: str):
         """Results for the parts of a text, in order."""
-        known = self.known
-        return [known.get(x) or self._chunk(x) for x in self.coarse(text)]
+        return [self.known.get(x) or self._chunk(x) for x in self.coarse(text)]
 
 
 def _encoder(ranks, pattern: str) -> Encoder:
@@ -154,7 +160,7 @@ def _run(docs: DataFrame, rank_path: str, pattern: str, row, schema: str, kept:
     @lean("bpe")
     def run(batches):
         e = _encoder(ranks, pattern)
-        for b in batches:
+        for b in parts(batches):
             rows = [row(e, t or "") for t in (x.as_py() for x in b.column(b.num_columns - 1))]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in extra]
             yield pa.record_batch([*b.columns[:-1], *(pa.array(c, kinds[k]) for c, (_, k) in zip(cols, extra, strict=True))], names=[*names, *(n for n, _ in extra)])

@@ -14,6 +14,8 @@ import functools
 
 import pyarrow as pa
 
+#: Rows of a batch that are taken, and given on, at once; bounds what a task holds beside the batch.
+ROWS = 500
 _KEPT: dict[str, tuple] = {}
 
 
@@ -38,6 +40,13 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def parts(batches):
+    """All rows of the batches, in batches of at most ``ROWS``."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def lean(operator: str = ""):
     """For a function over batches: nothing of other operators stays in its worker, and freed memory does not either."""
 

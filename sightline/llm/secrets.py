@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from .resident import lean
+from .resident import lean, parts
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -221,7 +221,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
 
     @lean()
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             rows = []
             for x in b.column(b.num_columns - 1):
                 t = x.as_py() or ""

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from ..session import drop_saved, saved, ship, table
 from .hashing import mix
 from .logistic import Logistic
-from .resident import kept, lean
+from .resident import kept, lean, parts
 
 DISCOUNT, DEPTH, TOP = 0.75, 8, 4
 #: Documents that a node needs, toxic documents that a pair needs, and the least log-likelihood statistic (chi-squared, one degree).
@@ -61,8 +61,6 @@ FACTOR = 0.7
 SAMPLE, CACHE = 8000, 100_000
 #: Characters of texts that are scanned at once.
 PART = 500_000
-#: Rows of a batch that are taken at once; bounds what a worker holds beside the batch.
-ROWS = 500
 #: Most rows of labels, of pairs to count and of nodes that are broadcast.
 LABELS, PAIRS, NODES = 2_000_000, 500_000, 500_000
 #: A word's end.
@@ -226,7 +224,7 @@ def _counter(pairs):
             keys = list(n[0].keys() | n[1].keys())
             return pa.record_batch([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in n)], names=["key", "n0", "n1"])
 
-        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for b in parts(batches):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = words_of(t)
                 if wanted is None:
@@ -361,19 +359,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def features(docs: DataFrame, nodes: DataFrame, held, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` and ``e0`` to ``e4``: the features of every row."""
-    d = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    own, text = [F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text")
     cols = [f"e{i}" for i in range(TOP + 1)]
     if held is None:
-        return _joined(d, nodes, keep, cols)
+        return _joined(docs.select(*own, text), nodes, keep, cols)
+    # a text that is kept goes to the workers once
+    at = keep.index(text_col) if text_col in keep and dict(docs.dtypes)[text_col] == "string" else len(keep)
+    d = docs.select(*own, *[text] * (at == len(keep)))
 
     @lean("toxicity")
     def run(batches):
-        for b in batches:
-            text = b.column(b.num_columns - 1)
-            f = np.concatenate([np.empty((0, TOP + 1)), *(_scorer(held)(text.slice(at, ROWS).to_pylist()) for at in range(0, b.num_rows, ROWS))])
-            yield pa.record_batch([*b.columns[:-1], *(pa.array(np.ascontiguousarray(x)) for x in f.T)], names=[*keep, *cols])
+        for b in parts(batches):
+            f = _scorer(held)(b.column(at).to_pylist())
+            yield pa.record_batch([*b.columns[:len(keep)], *(pa.array(np.ascontiguousarray(x)) for x in f.T)], names=[*keep, *cols])
 
-    return d.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), *(f"{c} double" for c in cols)]))
+    return d.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:len(keep)]), *(f"{c} double" for c in cols)]))
 
 
 def _joined(d: DataFrame, nodes: DataFrame, keep: tuple[str, ...], cols: list[str]) -> DataFrame:

@@ -9,9 +9,10 @@ of distinct words with the ranks as a literal: an array of short maps by hash, s
 a look-up does not read the map from its start. A word still costs about half a
 millisecond of two cores, as lambdas are interpreted; the README has the
 figures. :func:`encode` therefore does the same fold in Arrow
-batches, with the ranks in a hash map and a bounded cache of distinct words in
-each Python worker. Nothing is shuffled, and a worker holds one batch of texts,
-the ranks (a fixed file) and at most ``CACHE`` words.
+batches, for all words at once that a batch has and the worker does not know
+(:class:`Folder`), with a bounded cache of distinct words in each Python worker.
+Nothing is shuffled, and a worker holds one batch of texts, the ranks (a fixed
+file) and at most ``CACHE`` words.
 
 Cases. Null or empty text: no ids. Text that looks like a special token is
 ordinary text. Null ids of rows are passed on. Repeated rows are encoded each; of
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from .resident import kept, lean, parts
 
 #: Words of which a worker remembers the ids.
 CACHE = 150_000
-#: Longest word (in characters) that is remembered.
+#: Four times the characters that such a word has on average at most.
 LONGEST = 64
 #: Unicode white space, as the pattern's \\s; Python's has four control characters more.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -51,11 +53,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word."""
+    return [ranks[p] for p in fold_pieces(word, ranks)]
+
+
+def fold_pieces(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces of one word."""
     if word in ranks:
-        return [ranks[word]]
+        return [word]
     none, n, get = 1 << 60, len(word), ranks.get
     if n > 2000:
-        return _fold_long([word[i:i + 1] for i in range(n)], ranks)
+        return _live_long([word[i:i + 1] for i in range(n)], ranks)
     cuts = list(range(n + 1))  # pieces are the slices between cuts
     rank = [get(word[i:i + 2], none) for i in range(n - 1)]
     while rank and (least := min(rank)) < none:
@@ -65,10 +72,15 @@ def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             rank[i] = get(word[cuts[i]:cuts[i + 2]], none)
         if i:
             rank[i - 1] = get(word[cuts[i - 1]:cuts[i + 1]], none)
-    return [ranks[word[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _fold_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a very long word."""
+    return [ranks[p] for p in _live_long(parts, ranks)]
+
+
+def _live_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
     """The same fold for very long words: a heap of pairs and a linked list of pieces."""
     import heapq
 
@@ -96,48 +108,278 @@ def _fold_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
         if before[i] >= 0:
             pair(before[i])
         pair(i)
-    return [ranks[p] for p in live if p]
+    return [p for p in live if p]
+
+
+class _Numbers(dict):
+    """Numbers keys as they are first asked for; ``fresh`` has those that are new."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        n = self[key] = len(self)
+        return n
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
+class _Known(_Numbers):
+    """Words by number, and the places of their pieces: word i has ``sizes[i]`` from ``starts[i]``."""
+
+    def __init__(self):
+        super().__init__()
+        self.held, self.flat, self.starts, self.sizes = 0, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def put(self, some: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> None:
+        """What the words of these numbers have."""
+        if (n := len(self) - len(self.sizes)) > 0:
+            self.starts, self.sizes = np.concatenate([self.starts, np.zeros(n, np.int64)]), np.concatenate([self.sizes, np.zeros(n, np.int64)])
+        self.starts[some], self.sizes[some] = _ends(sizes)[:-1] + len(self.flat), sizes
+        self.flat = np.concatenate([self.flat, places])
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """Where each of some runs ends, after a 0: run i is between i and i + 1."""
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` of these starts and sizes, one after another."""
+    return flat[np.repeat(starts - _ends(sizes)[:-1], sizes) + np.arange(sizes.sum())]
+
+
+class Folder:
+    """The fold of many words at once, over places: a piece's place is its position by rank.
+
+    Words of like lengths are rows of a matrix. In each round every row joins its
+    first pair of least rank, and a row without such a pair is done. Pairs are
+    looked up in an open hash table of all pairs of pieces that make a piece.
+    """
+
+    EMPTY = np.uint64(2**64 - 1)
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+    #: Longest words (in bytes) of each matrix, and its rows; longer words are folded one by one.
+    WIDTHS, ROWS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48, 64), 8192
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        order = sorted(ranks, key=ranks.__getitem__)
+        self.numbers = np.array([ranks[p] for p in order], np.int64)
+        self.pieces = pa.array(order, pa.large_binary())
+        # a byte that is no piece has a place behind all pieces; it may yet be part of one
+        order += [x for x in (bytes([i]) for i in range(256)) if x not in ranks]
+        self.place = {p: i for i, p in enumerate(order)}
+        self.none = len(order)
+        self.first = np.array([self.place[bytes([i])] for i in range(256)], np.int32)
+        get, n, found = self.place.get, np.uint64(self.none + 1), array("q")
+        for p, i in self.place.items():
+            for k in range(1, len(p)):
+                if (x := get(p[:k])) is not None and (y := get(p[k:])) is not None:
+                    found.extend((x, y, i))
+        x, y, i = np.array(found, np.int64).reshape(-1, 3).T.copy()
+        self._table(x.astype(np.uint64) * n + y.astype(np.uint64), i.astype(np.int32))
+
+    def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(8, (3 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # a key lies at its home or behind it, with no empty slot between
+        self.keys = np.full((1 << bits) + len(keys) + 1, self.EMPTY)
+        self.values = np.full(len(self.keys), self.none, np.int32)
+        at, todo = (keys * self.STEP >> self.shift).astype(np.int64), np.arange(len(keys))
+        while todo.size:
+            free = np.flatnonzero(self.keys[at[todo]] == self.EMPTY)
+            _, one = np.unique(at[todo[free]], return_index=True)
+            put = todo[free[one]]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            todo = np.delete(todo, free[one])
+            at[todo] += 1
+        used = int(np.flatnonzero(self.keys != self.EMPTY).max(initial=0))
+        end = max(1 << bits, used + 1) + 1
+        self.keys, self.values = self.keys[:end].copy(), self.values[:end].copy()
+
+    def pair(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Places of the joined pairs, ``none`` for those that make no piece."""
+        key = x.astype(np.uint64) * np.uint64(self.none + 1) + y.astype(np.uint64)
+        at = (key * self.STEP >> self.shift).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == key, self.values[at], np.int32(self.none))
+        more = np.flatnonzero((there != key) & (there != self.EMPTY))
+        while more.size:
+            at[more] += 1
+            there = self.keys[at[more]]
+            hit = there == key[more]
+            out[more[hit]] = self.values[at[more[hit]]]
+            more = more[~hit & (there != self.EMPTY)]
+        return out
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all words' pieces, one after another, and how many each word has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        at, data = _ends(sizes), np.frombuffer(b"".join(words), np.uint8)
+        out = np.full(len(data), -1, np.int32)
+        counts = np.ones(len(words), np.int64)
+        whole = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        out[at[:-1][whole >= 0]] = whole[whole >= 0]
+        counts[sizes == 0] = 0
+        rest = np.flatnonzero((whole < 0) & (sizes > 0))
+        width = np.searchsorted(self.WIDTHS, sizes[rest])
+        for k in np.unique(width):
+            rows = rest[width == k]
+            if k == len(self.WIDTHS):
+                for i in rows:
+                    ids = [self.place[p] for p in fold_pieces(words[i], self.ranks)]
+                    out[at[i]:at[i] + len(ids)], counts[i] = ids, len(ids)
+                continue
+            for n in range(0, len(rows), self.ROWS):
+                self._matrix(data, at, rows[n:n + self.ROWS], self.WIDTHS[k], out, counts)
+        out = out[out >= 0]
+        if len(self.numbers) < self.none and out.max(initial=0) >= len(self.numbers):
+            raise KeyError("a byte that no rank is given for")
+        return out, counts
+
+    def _matrix(self, data: np.ndarray, at: np.ndarray, rows: np.ndarray, width: int, out: np.ndarray, counts: np.ndarray) -> None:
+        """Fold of words of at most ``width`` bytes, 2 at least; their places go to ``out``."""
+        cell = at[rows][:, None] + np.arange(width)
+        inside = cell < at[rows + 1][:, None]
+        pieces = np.full(cell.shape, self.none, np.int32)
+        pieces[inside] = self.first[data[cell[inside]]]
+        best = self.pair(pieces[:, :-1].ravel(), pieces[:, 1:].ravel()).reshape(len(rows), -1)
+
+        def done(some):
+            there = pieces[some]
+            real = there != self.none
+            counts[rows[some]] = real.sum(1)
+            out[(at[rows[some]][:, None] + np.arange(there.shape[1]))[real]] = there[real]
+
+        while len(rows):
+            if not best.shape[1]:
+                return done(slice(None))
+            j = best.argmin(1)
+            joined = best[np.arange(len(rows)), j]
+            if (live := joined != self.none).sum() < len(rows):
+                done(~live)
+                pieces, best, rows, j, joined = pieces[live], best[live], rows[live], j[live], joined[live]
+            if not (n := len(rows)):
+                return
+            row = np.arange(n)
+            pieces[row, j] = joined
+            stay = np.ones(pieces.shape, bool)
+            stay[row, j + 1] = False
+            pieces = pieces[stay].reshape(n, -1)
+            best = best[stay[:, 1:]].reshape(n, -1)
+            # pair i is of the pieces i and i + 1: those with the joined piece are new
+            for i in (j - 1, j):
+                some = np.flatnonzero((i >= 0) & (i < best.shape[1]))
+                c = i[some]
+                best[some, c] = self.pair(pieces[some, c], pieces[some, c + 1])
 
 
 class Encoder:
-    """Encodes texts; keeps the results of distinct words up to a bound."""
+    """Encodes texts; keeps the results of distinct words up to a bound.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pieces, self.names = ranks, {r: p for p, r in ranks.items()}, {r: str(r) for r in ranks.values()}
-        # between two white-space runs the pattern can be applied alone: no match spans more
-        self.coarse = regex.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.words = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
-        # in two halves, so that words in use outlive rare ones; tuples of plain values: the collector skips them
-        self.known: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[int, str, bytes, tuple[int, ...]]] = {}
+    The words of some texts that are not known are folded together; then all ids
+    of these texts are gathered at once.
+    """
 
-    def _word(self, w: str) -> tuple[int, str, bytes, tuple[int, ...]]:
-        ids = tuple(fold(w.encode(), self.ranks))
-        return len(ids), ",".join(map(self.names.__getitem__, ids)), b"".join(map(self.pieces.__getitem__, ids)), ids
+    #: Words that are worked on at once.
+    SEGMENT = 1 << 17
 
-    def _keep(self, x: str, out):
-        if len(x) <= LONGEST:
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.fold = Folder(ranks)
+        self.names = pa.array([f",{r}".encode() for r in self.fold.numbers.tolist()], pa.large_binary())
+        self.words = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
+        # in two halves, so that words in use outlive rare ones
+        self.known, self.older = _Known(), _Known()
+
+    def _learn(self) -> None:
+        """Take the words that are new from the older half, or fold them."""
+        k, old = self.known, self.older
+        fresh, k.fresh = k.fresh, []
+        if not fresh:
+            return
+        k.held += sum(map(len, fresh))
+        were = np.fromiter((old.get(x, -1) for x in fresh), np.int64, len(fresh))
+        number, has = np.arange(len(k) - len(fresh), len(k)), were >= 0
+        k.put(number[has], _gather(old.flat, old.starts[were[has]], old.sizes[were[has]]), old.sizes[were[has]])
+        k.put(number[~has], *self.fold([x.encode() for x, i in zip(fresh, were.tolist(), strict=True) if i < 0]))
+
+    def _bound(self) -> None:
+        """Both halves have at most ``CACHE`` words, and characters in proportion."""
+        fits = lambda n, held: n <= CACHE and held <= CACHE * LONGEST // 4
+        k, old = self.known, self.older
+        if not fits(len(k) + len(old), k.held + old.held):
+            self.known, self.older = _Known(), k if fits(len(k), k.held) else _Known()
+
+    def _segments(self, texts: list[str]):
+        """Words of the texts, some at once, with the text and the number of each run of them."""
+        words: list[str] = []
+        runs: list[tuple[int, int]] = []
+        for i, t in enumerate(texts):
+            found = self.words(t)
+            for at in range(0, len(found), self.SEGMENT):
+                some = found[at:at + self.SEGMENT]
+                if words and len(words) + len(some) > self.SEGMENT:
+                    yield words, runs
+                    words, runs = [], []
+                words += some
+                runs.append((i, len(some)))
+        if words:
+            yield words, runs
+
+    def runs(self, texts: list[str]):
+        """Places of the texts' pieces: arrays of runs, where the runs end, and of which text each is."""
+        for words, runs in self._segments(texts):
             if len(self.known) >= CACHE // 2:
-                self.known, self.older = {}, self.known
-            self.known[x] = out
+                self.known, self.older = _Known(), self.known
+            at = self.known.of(words)
+            self._learn()
+            sizes = self.known.sizes[at]
+            places, ends = _gather(self.known.flat, self.known.starts[at], sizes), _ends(sizes)[_ends(np.array([n for _, n in runs]))]
+            del at, sizes
+            self._bound()
+            yield places, ends, [i for i, _ in runs]
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, digest of the ids joined by commas, digest of the decoded ids."""
+        counts, ids, decoded = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+        for places, ends, of in self.runs(texts):
+            places = pa.array(places)
+            for hashes, known, skip in ((ids, self.names, 1), (decoded, self.fold.pieces, 0)):
+                data, at = _joined(known.take(places))
+                for i, a, b in zip(of, at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True):
+                    # a text's first id has no comma before it
+                    hashes[i].update(data[a if counts[i] or a == b else a + skip:b])
+            for i, n in zip(of, np.diff(ends).tolist(), strict=True):
+                counts[i] += n
+        return [(n, x.hexdigest(), y.hexdigest()) for n, x, y in zip(counts, ids, decoded, strict=True)]
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray]]:
+        """The ids of each text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for places, ends, of in self.runs(texts):
+            ids = self.fold.numbers[places].astype(np.int32)
+            for i, a, b in zip(of, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                out[i].append(ids[a:b])
+        return [(np.concatenate(x) if x else np.zeros(0, np.int32),) for x in out]
+
+    def chunks(self, text: str) -> list[tuple[int, str, bytes, tuple[int, ...]]]:
+        """For the words of a text, in order: number of ids, ids joined by commas, their bytes, ids."""
+        out = []
+        for x in self.words(text):
+            for places, _, _ in self.runs([x]):
+                ids = self.fold.numbers[places].tolist()
+                out.append((len(ids), ",".join(map(str, ids)), b"".join(self.fold.pieces.take(pa.array(places)).to_pylist()), tuple(ids)))
         return out
 
-    def _known(self, x: str) -> tuple[int, str, bytes, tuple[int, ...]] | None:
-        return self.known.get(x) or (self._keep(x, out) if (out := self.older.get(x)) else None)
-
-    def _chunk(self, x: str) -> tuple[int, str, bytes, tuple[int, ...]]:
-        if out := self.older.get(x):
-            return self._keep(x, out)
-        words = self.words(x)
-        if len(words) == 1:
-            return self._keep(x, self._word(x))
-        # its words are mostly known from other places
-        parts = [self._known(w) or self._keep(w, self._word(w)) for w in words]
-        return self._keep(x, (sum([p[0] for p in parts]), ",".join([p[1] for p in parts]), b"".join([p[2] for p in parts]), tuple([i for p in parts for i in p[3]])))
 
-    def chunks(self, text: str):
-        """Results for the parts of a text, in order."""
-        return [self.known.get(x) or self._chunk(x) for x in self.coarse(text)]
+def _joined(a: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all values of an array of binaries, and where each begins and the last ends."""
+    _, offsets, data = a.buffers()
+    return memoryview(data) if data is not None else memoryview(b""), np.frombuffer(offsets, np.int64)[a.offset:a.offset + len(a) + 1]
 
 
 def _encoder(ranks, pattern: str) -> Encoder:
@@ -146,7 +388,7 @@ def _encoder(ranks, pattern: str) -> Encoder:
     return kept("bpe", key, lambda: Encoder(ranks.value if hasattr(ranks, "value") else ranks, pattern))
 
 
-def _run(docs: DataFrame, rank_path: str, pattern: str, row, schema: str, kept: list[Column]) -> DataFrame:
+def _run(docs: DataFrame, rank_path: str, pattern: str, of, schema: str, kept: list[Column]) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(rank_path))
@@ -161,7 +403,7 @@ def _run(docs: DataFrame, rank_path: str, pattern: str, row, schema: str, kept:
     def run(batches):
         e = _encoder(ranks, pattern)
         for b in parts(batches):
-            rows = [row(e, t or "") for t in (x.as_py() for x in b.column(b.num_columns - 1))]
+            rows = of(e, [t or "" for t in b.column(b.num_columns - 1).to_pylist()])
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in extra]
             yield pa.record_batch([*b.columns[:-1], *(pa.array(c, kinds[k]) for c, (_, k) in zip(cols, extra, strict=True))], names=[*names, *(n for n, _ in extra)])
 
@@ -182,15 +424,6 @@ class _Held:
         return {"b": self.b, "id": self.id}
 
 
-def _digests(e: Encoder, text: str) -> tuple[int, str, str]:
-    parts = e.chunks(text)
-    return sum(p[0] for p in parts), hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest(), hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()
-
-
-def _ids(e: Encoder, text: str) -> tuple[np.ndarray]:
-    return (np.array([i for p in e.chunks(text) for i in p[3]], np.int32),)
-
-
 def default_ranks() -> tuple[str, str]:
     """Rank file and pattern of the installed public tokenizer."""
     import public_tokenizers as p
@@ -201,7 +434,7 @@ def default_ranks() -> tuple[str, str]:
 def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """All columns but the text, and ``out_col`` (array of int): the text's ids."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, out_col)]
-    return _run(docs, rank_path, pattern, _ids, f"{out_col} array<int>", [*rest, F.col(f"`{text_col}`").cast("string")])
+    return _run(docs, rank_path, pattern, Encoder.ids, f"{out_col} array<int>", [*rest, F.col(f"`{text_col}`").cast("string")])
 
 
 def decode(docs: DataFrame, rank_path: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
@@ -217,7 +450,7 @@ def decode(docs: DataFrame, rank_path: str, ids_col: str = "ids", out_col: str =
 
 def digests(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``n_tokens, ids_sha256, decoded_sha256`` of the whole round trip."""
-    return _run(docs, rank_path, pattern, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", [*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string")])
+    return _run(docs, rank_path, pattern, Encoder.digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", [*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").cast("string")])
 
 
 #: Buckets of the rank literal.

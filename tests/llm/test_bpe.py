@@ -1,7 +1,10 @@
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -61,3 +64,48 @@ def test_cache_is_bounded(monkeypatch):
     e = bpe.Encoder(RANKS, PATTERN)
     e.chunks(" ".join(map(str, range(100))))
     assert len(e.known) <= 10
+
+
+def test_words_are_folded_together():
+    """What a new word costs: folding one by one is most of the query's work."""
+    r = random.Random(6)
+    text = " ".join("".join(r.choice("abcdefghinorstu") for _ in range(r.randint(6, 14))) for _ in range(40_000))
+    e, words = bpe.Encoder(RANKS, PATTERN), set(text.split(" "))
+    at = time.process_time()
+    plain = [bpe.fold(f" {w}".encode(), RANKS) for w in words]
+    between = time.process_time()
+    (n, ids, _), = e.digests([text])
+    assert time.process_time() - between < 0.8 * (between - at) and len(plain) == len(words)
+    want = TK.encode_ordinary(text)
+    assert (n, ids) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
+
+
+def test_fold_of_many_words_is_the_plain_fold():
+    r = random.Random(7)
+    word = lambda n: bytes(r.choice(b"abcdetion \xc3\xa9") for _ in range(n))
+    words = [word(n) for n in (*range(140), 700, 2100) for _ in range(6)]
+    # ranks in no order, gaps between them, words that are pieces yet fold to others
+    odd = list({bytes([i]) for i in range(256)} | {word(r.randint(2, 4)) for _ in range(900)} | {word(9) for _ in range(20)})
+    numbers = r.sample(range(5000), len(odd))
+    for ranks in (RANKS, dict(zip(odd, numbers, strict=True)), {bytes([i]): i for i in range(256)}):
+        f = bpe.Folder(ranks)
+        some = [*words, *(p for p in odd if p in ranks)]
+        places, counts = f(some)
+        assert [x.tolist() for x in np.split(f.numbers[places], np.cumsum(counts)[:-1])] == [bpe.fold(w, ranks) if w else [] for w in some]
+    assert [x.tolist() for x in f([])] == [[], []]
+    few = bpe.Folder({b"a": 0, b"bc": 1})
+    assert [x.tolist() for x in few([b"abca", b"bc"])] == [[0, 1, 0, 1], [3, 1]]
+    with pytest.raises(KeyError):
+        few([b"ab"])
+
+
+def test_texts_over_several_segments(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 30)
+    texts = [t or "" for t in ODD] * 2 + [" ".join(f"w{i % 40}" for i in range(300)), "x" * 600, ""]
+    for n in (1, 7, 1 << 17):
+        monkeypatch.setattr(bpe.Encoder, "SEGMENT", n)
+        e = bpe.Encoder(RANKS, PATTERN)
+        want = [TK.encode_ordinary(t) for t in texts]
+        assert [x.tolist() for x, in e.ids(texts)] == want
+        assert e.digests(texts) == [(len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(want, texts, strict=True)]
+        assert len(e.known) + len(e.older) <= 30 and e.known.held + e.older.held <= 30 * bpe.LONGEST // 4
